@@ -15,12 +15,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     checkpoint_folder(spark)
-    return hierarchy.hierarchy(table(spark, folder, "edges")).select("node_id", "root_id", "depth")
+    return hierarchy.hierarchy(table(spark, folder, "edges"))
 
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
     checkpoint_folder(spark)
-    return hierarchy.paths(hierarchy.hierarchy(table(spark, folder, "edges")))
+    return hierarchy.paths(hierarchy.hierarchy(table(spark, folder, "edges"), with_parent=True))
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
