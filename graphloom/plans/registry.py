@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.plans import links
+from graphloom.plans import graph_queries, links, resolve_queries, search_queries
 
-MODULES = (links,)
+REGISTRIES = (graph_queries.R, search_queries.R, resolve_queries.R)
 
 
 def queries() -> dict:
-    return {k: v for m in MODULES for k, v in m.queries().items()}
+    return links.queries() | {k: v for r in REGISTRIES for k, v in r.functions.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
+    return links.oracle_sql() | {k: v for r in REGISTRIES for k, v in r.sql.items()}
