@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.lexing import family, line_of, line_starts, mask, pairs
+from graphloom.functions.lexing import family, line_of, line_starts, mask, pairs
 
 FUNCTION = "path string, name string, start_line int, end_line int, source_doc string, code string"
 
