@@ -27,6 +27,7 @@ ROW = (
 MAX_BYTES = 1 << 20  # larger files are recorded and not parsed
 
 # Words that look like calls or types and are none.
+CONTROL = frozenset("if for while switch catch return with else do match loop".split())
 NOT_CALLS = frozenset("if for while switch catch return with func function fn def class struct match loop new await typeof sizeof elif else defer go select print super self this".split())
 _CALL = re.compile(r"(?<![\w.])((?:[A-Za-z_$][\w$]*(?:\.|::))*[A-Za-z_$][\w$]*)\s*\(")
 _NEW = re.compile(r"\bnew\s+([A-Za-z_$][\w$.]*)")
@@ -180,7 +181,7 @@ def _braced(found: Found, text: str, root: str, kind: str) -> None:
     for m in _FUNCTIONS[kind].finditer(code):
         groups = m.groupdict()
         name = next(groups[g] for g in ("name", "arrow", "method", "property") if groups.get(g))
-        if name in NOT_CALLS:
+        if name in CONTROL:
             continue
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
         opener = code.find("(", m.end() - 1)
