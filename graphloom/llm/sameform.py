@@ -103,10 +103,10 @@ def piece_forms(pieces: DataFrame) -> DataFrame:
     )
     points = parts.select("piece", "i", "j", F.col("part.c").alias("c"), F.col("part.ccc").alias("ccc"))
     order = Window.partitionBy("piece").orderBy("i", "j").rowsBetween(Window.unboundedPreceding, 0)
-    starts = F.when((F.col("ccc") == 0) & ~F.col("c").rlike(_JAMO), 1).otherwise(0)
-    runs = points.withColumn("run", F.sum(starts).over(order)).groupBy("piece", "run").agg(
-        F.sort_array(F.collect_list(F.struct("ccc", "i", "j", "c"))).alias("ordered")
-    )
+    starter = F.when(F.col("ccc") == 0, 1).otherwise(0)
+    starts = F.when(F.col("c").rlike(_JAMO), 0).otherwise(starter)  # vowels and finals of Hangul join the syllable before them
+    numbered = points.withColumn("run", F.sum(starts).over(order)).withColumn("base", F.sum(starter).over(order))
+    runs = numbered.groupBy("piece", "run").agg(F.sort_array(F.collect_list(F.struct("base", "ccc", "i", "j", "c"))).alias("ordered"))
     runs = runs.select("piece", "run", F.array_join(F.transform("ordered", lambda x: x["c"]), "").alias("cluster"))
     compound = runs.where(F.length("cluster") > 1).select("cluster").distinct().select("cluster", _composed("cluster").alias("whole"))
     whole = runs.join(compound, "cluster", "left").select("piece", "run", F.coalesce("whole", "cluster").alias("whole"))
