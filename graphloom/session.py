@@ -48,6 +48,12 @@ def ship_package(spark: SparkSession) -> None:
     context._graphloom_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores: for Python work on files too few or small to be split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows as a compressed table written to the shared folder, so that a lost executor costs no earlier stage."""
     spark = df.sparkSession
