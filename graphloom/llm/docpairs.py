@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexing import family, line_of, line_starts, mask, pairs
+from graphloom.session import spread
 
 FUNCTION = "path string, name string, start_line int, end_line int, source_doc string, code string"
 
@@ -261,7 +262,7 @@ def lexed_functions(contents: DataFrame, with_code: bool = True) -> DataFrame:
             frame = pd.DataFrame(rows, columns=["path", "name", "start_line", "end_line", "source_doc", "code"])
             yield frame.astype({"start_line": "int32", "end_line": "int32"})
 
-    return text.where("language is not null").mapInPandas(run, FUNCTION)
+    return spread(text.where("language is not null")).mapInPandas(run, FUNCTION)
 
 
 # Extensions and their languages.
