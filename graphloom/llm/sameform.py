@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graphloom.session import cut_lineage
+
 # Letters that look like a Latin letter, and the letters they look like, in the same order.
 LOOKALIKES = {
     "Cyrillic": ("АВЕЅІЈКМНОРСТХаеѕіјорсухԁԛԝһӏԌԜ", "ABESIJKMHOPCTXaesijopcyxdqwhlGW"),
@@ -140,13 +142,18 @@ def canonical_texts(documents: DataFrame, text: str = "text", out: str = "form")
     )
 
 
+def _looks(documents: DataFrame) -> DataFrame:
+    """doc_id, raw (hash of the text), look (hash of its form) of distinct rows; every text is read and hashed once, and the hashes are kept."""
+    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("raw"), F.col("text").rlike(_WIDE).alias("wide"))
+    raw = cut_lineage(docs)
+    forms = distinct_forms(documents.where(F.col("doc_id").isNotNull())).select(F.col("key").alias("raw"), F.sha2("form", 256).alias("look"))
+    narrow = raw.where("not wide").select("doc_id", "raw", F.col("raw").alias("look"))
+    return narrow.unionByName(raw.where("wide").join(forms, "raw").select("doc_id", "raw", "look")).distinct()
+
+
 def look_classes(documents: DataFrame) -> DataFrame:
     """doc_id, raw (hash of the text), look (hash of its form), representative (least doc_id of equal-looking texts)."""
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    forms = distinct_forms(docs).select("key", F.sha2("form", 256).alias("__look"))
-    raw = docs.select("doc_id", F.sha2("text", 256).alias("raw"), F.col("text").rlike(_WIDE).alias("wide"))
-    narrow = raw.where("not wide").select("doc_id", "raw", F.col("raw").alias("look"))
-    seen = narrow.unionByName(raw.where("wide").join(forms, F.col("raw") == F.col("key")).select("doc_id", "raw", F.col("__look").alias("look"))).distinct()
+    seen = _looks(documents)
     least = seen.groupBy("look").agg(F.min("doc_id").alias("representative"))
     return seen.join(least, "look").select("doc_id", "raw", "look", "representative")
 
@@ -157,15 +164,9 @@ def equal_looking_pairs(documents: DataFrame) -> DataFrame:
     Null texts and null ids are in no pair.  The result grows with the product of the spellings of a text and their
     copies; only texts with two spellings take part.
     """
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    forms = distinct_forms(docs).select("key", F.sha2("form", 256).alias("look"))
-    raw = docs.select("doc_id", F.sha2("text", 256).alias("raw"))
-    spellings = raw.select("raw").distinct().join(forms, F.col("raw") == F.col("key"), "left").select("raw", F.coalesce("look", "raw").alias("look"))
-    several = spellings.groupBy("look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("look")
-    taking = spellings.join(several, "look")
-    members = raw.join(taking, "raw").distinct()
+    seen = cut_lineage(_looks(documents))
+    several = seen.groupBy("look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("look")
+    members = cut_lineage(seen.join(several, "look", "left_semi"))
     a = members.select(F.col("doc_id").alias("doc_id_a"), "look", F.col("raw").alias("raw_a"))
     b = members.select(F.col("doc_id").alias("doc_id_b"), "look", F.col("raw").alias("raw_b"))
     return a.join(b, "look").where("doc_id_a < doc_id_b and raw_a <> raw_b").select("doc_id_a", "doc_id_b").distinct()
-
-
