@@ -52,7 +52,7 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.leaked(leakage.hits(*_tables(spark, folder, "documents", "benchmark")))
+    return leakage.leaked(leakage.hits(*_tables(spark, folder, "documents", "benchmark"), tolerated=0))
 
 
 def p7_overlaps(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Problems 6, 7 and 8 against brute force."""
 
 import bisect
+import itertools
 import random
 
 import pytest
@@ -85,6 +86,29 @@ def test_leaks(spark, cap):
     assert leakage.hits(d.limit(0), b, cap).count() == 0 and leakage.hits(d, b.limit(0), cap).count() == 0
 
 
+def test_masks_cover_every_set_of_replaced_words():
+    assert all(any(all(m[i] == "0" for i in lost) for m in leakage.MASKS) for lost in itertools.combinations(range(leakage.SPAN), leakage.TOLERATED))
+
+
+@pytest.mark.parametrize("cap", [10**6, 0])
+def test_overlaps_against_brute_force(spark, cap):
+    w, docs = [x.casefold() for x in ITEM.split()], []
+    for stride in (4, 5, 7, 9):
+        docs += [" ".join(f"other{i}" if i % stride == first else x for i, x in enumerate(w)) for first in range(stride)]
+    docs += [" ".join(random.Random(k).choice([x, x, x, "other"]) for x in w) for k in range(20)]
+    docs.append("before " + ITEM)
+    want = set()
+    for k, t in enumerate(docs):
+        x, y = leakage.words_of(t), leakage.words_of(ITEM)
+        equal = {(i, j): sum(a == b for a, b in zip(x[i : i + 12], y[j : j + 12])) for i in range(len(x) - 11) for j in range(len(y) - 11)}
+        want |= {(k, i, j, e) for (i, j), e in equal.items() if e >= 9}
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    b = spark.createDataFrame([(100, ITEM)], "item_id bigint, text string")
+    assert {(r.doc_id, r.doc_at, r.item_at, r.equal) for r in leakage.hits(d, b, cap).collect()} == want
+    assert {(r.doc_id, r.doc_at, r.item_at, r.equal) for r in leakage.hits(d, b, cap, 0).collect()} == {x for x in want if x[3] == 12} != set()
+    assert {r[0] for r in leakage.overlaps(leakage.hits(d, b, cap)).collect()} == {k for k, *_ in want} >= set(range(4, 25))
+
+
 def runs(a, b):
     x, y = leakage.words_of(a), leakage.words_of(b)
     theirs = {tuple(y[i : i + 12]) for i in range(len(y) - 11)}
