@@ -2,11 +2,11 @@
 
 Two ways lead to a verdict.  Every file is lexed once and judged by its opening
 comment, its path and the composition of its tokens.  Beside that an inverted
-index of line hashes finds text that also stands in another repository: each
-line of a file votes for the first holder of that line elsewhere, and the shared
-lines of a file and its best candidate are then counted exactly.  A line has at
-most two such holders, so a text that a third of all files copy costs no more
-than any other.
+index of line hashes finds text that also stands in another repository.  Files
+with the same lines are one class.  A class of n lines that shall hold at least t
+of them elsewhere can't do without all of any m - t + 1 of its m lines that stand
+elsewhere at all, so the holders of its rarest m - t + 1 are all its candidates,
+and the shared lines of each are counted exactly.
 """
 
 from __future__ import annotations
@@ -119,36 +119,53 @@ def rules(files: DataFrame, contents: DataFrame) -> DataFrame:
     return text.join(named, "path").mapInPandas(run, JUDGED)
 
 
-def copied_lines(contents: DataFrame, contained: float = CONTAINED) -> DataFrame:
+def line_classes(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, repo, class of each file; class, lines, n, least and greatest (repo, path) of each class of files with the same lines)."""
+    text = contents.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content").distinct()
+    split = F.array_distinct(F.transform(F.split("content", "\r\n|\r|\n"), F.trim))
+    hashed = F.array_sort(F.array_distinct(F.transform(F.filter(split, lambda x: F.length(x) >= MIN_LINE), lambda x: F.xxhash64(x))))
+    held = cut_lineage(
+        text.select("path", F.substring_index("path", "/", 1).alias("repo"), hashed.alias("lines")).where(F.size("lines") > 0).withColumn("class", F.xxhash64("lines"))
+    )
+    own = F.struct("repo", "path")
+    classes = held.groupBy("class").agg(F.first("lines").alias("lines"), F.min(own).alias("a"), F.max(own).alias("b")).withColumn("n", F.size("lines"))
+    return held.select("path", "repo", "class"), cut_lineage(classes)
+
+
+def class_links(classes: DataFrame, contained: float = CONTAINED) -> DataFrame:
+    """class, other, share: all pairs of classes with files in two repositories, of which ``other`` has at least the share ``contained`` of the lines of ``class``."""
+    lines = classes.select("class", F.col("a.repo").alias("lo"), F.col("b.repo").alias("hi"), "n", F.explode("lines").alias("line"))
+    spread = lines.groupBy("line").agg(F.count("*").alias("holders"), F.min("lo").alias("first"), F.max("hi").alias("last")).where("holders > 1 and first <> last")
+    needed = F.ceil(F.lit(contained) * F.col("n") - F.lit(1e-9))
+    rare = (
+        lines.where(F.col("n") >= MIN_LINES).join(spread, "line").groupBy("class", "lo", "hi", "n").agg(F.collect_list(F.struct("holders", "line")).alias("found"))
+        .where(F.size("found") >= needed)
+        .select("class", "lo", "hi", "n", F.explode(F.slice(F.array_sort("found"), F.lit(1), (F.size("found") - needed + 1).cast("int"))).alias("l"))
+        .select("class", "lo", "hi", "n", F.col("l.line").alias("line"))
+    )
+    theirs = lines.select(F.col("class").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("n").alias("n2"), "line")
+    apart = (F.col("lo") != F.col("hi2")) | (F.col("lo2") != F.col("hi"))
+    pairs = rare.join(theirs, "line").where((F.col("class") != F.col("other")) & apart & (F.col("n2") >= needed)).select("class", "other").distinct()
+    mine = classes.select("class", "n", F.col("lines").alias("mine"))
+    shared = pairs.join(mine, "class").join(classes.select(F.col("class").alias("other"), "lines"), "other").withColumn("shared", F.size(F.array_intersect("mine", "lines")))
+    return shared.where(F.col("shared") >= contained * F.col("n")).select("class", "other", F.round(F.col("shared") / F.col("n"), 6).alias("share"))
+
+
+def copied_lines(held: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
     """Files most of whose lines stand in one file of another repository: path, other, share.
 
     Lines are compared without their indentation; short ones (under MIN_LINE characters) and repeated ones of a file
     don't count, and files with fewer than MIN_LINES left are no cases.  The repository is the path up to its first
-    slash.  Of equal candidates the one with the smallest key is named.
+    slash.  Of several candidates the one with the greatest share and then the smallest path is named.
     """
-    text = contents.where(F.col("path").isNotNull() & F.col("content").isNotNull()).select("path", "content")
-    file = F.xxhash64("path").alias("file")
-    repo = F.xxhash64(F.substring_index("path", "/", 1)).alias("repo")
-    split = F.array_distinct(F.transform(F.split("content", "\r\n|\r|\n"), F.trim))
-    lines = text.select(file, repo, F.explode(F.filter(split, lambda x: F.length(x) >= MIN_LINE)).alias("line")).select(
-        "file", "repo", F.xxhash64("line").alias("line")
-    )
-    own = F.struct("repo", "file")
-    leaders = lines.groupBy("line").agg(F.min(own).alias("a"), F.max(own).alias("b")).where("a.repo <> b.repo")
-    elsewhere = F.when(F.col("repo") == F.col("a.repo"), F.col("b.file")).otherwise(F.col("a.file"))
-    votes = lines.join(leaders, "line").groupBy("file", elsewhere.alias("other")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("file").agg(F.max(F.struct("votes", (-F.col("other")).alias("k"), "other")).alias("v")).select("file", "v.votes", "v.other")
-    sizes = lines.groupBy("file").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_LINES)
-    candidates = best.join(sizes, "file").where(F.col("votes") >= 0.4 * F.col("lines"))
-    theirs = lines.select(F.col("file").alias("other"), "line").join(candidates.select("other").distinct(), "other", "left_semi")
-    shared = (
-        lines.join(candidates, "file").select("file", "other", "lines", "line").join(theirs, ["other", "line"]).groupBy("file", "other", "lines").agg(F.count("*").alias("n"))
-    )
-    cases = shared.where(F.col("n") >= contained * F.col("lines"))
-    names = text.select("path", file)
-    return cases.join(names, "file").join(names.select(F.col("file").alias("other"), F.col("path").alias("other_path")), "other").select(
-        "path", F.col("other_path").alias("other"), F.round(F.col("n") / F.col("lines"), 6).alias("share")
-    )
+    ends = classes.select("class", "a", "b", "n")
+    away = lambda a, b: F.when(F.col(f"{a}.repo") != F.col("repo"), F.col(f"{a}.path")).when(F.col(f"{b}.repo") != F.col("repo"), F.col(f"{b}.path"))
+    files = held.join(ends, "class").where(F.col("n") >= MIN_LINES).select("path", "repo", "class", away("a", "b").alias("mate"))
+    equal = files.where("mate is not null").select("path", F.col("mate").alias("other"), F.lit(1.0).alias("share"))
+    theirs = links.join(ends.select(F.col("class").alias("other"), F.col("a").alias("c"), F.col("b").alias("d")), "other")
+    near = files.where("mate is null").join(theirs, "class").select("path", away("c", "d").alias("found"), "share").where("found is not null")
+    best = near.groupBy("path").agg(F.min(F.struct((-F.col("share")).alias("k"), "found")).alias("v")).select("path", F.col("v.found").alias("other"), (-F.col("v.k")).alias("share"))
+    return equal.unionByName(best)
 
 
 def not_handwritten(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -158,7 +175,8 @@ def not_handwritten(files: DataFrame, contents: DataFrame) -> DataFrame:
     Files without text, with null paths or missing from ``files`` are no cases; repeated rows count once.
     """
     ruled = cut_lineage(rules(files, contents).where("rule is not null or marked"))
-    copies = copied_lines(contents)
+    held, classes = line_classes(contents)
+    copies = copied_lines(held, classes, class_links(classes))
     marked = ruled.where("marked").select(F.col("path").alias("other"), F.lit(True).alias("original"))
     copies = copies.join(marked, "other", "left").select("path", "other", F.coalesce("original", F.lit(False)).alias("original"))
     joined = copies.join(files.select("path").distinct(), "path", "left_semi").join(ruled, "path", "full")

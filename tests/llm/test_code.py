@@ -1,5 +1,8 @@
 """Problems 1, 2 and 4 on small fixtures: nulls, empty and very long texts, repeated rows, odd columns."""
 
+import itertools
+import random
+
 import pytest
 
 from graphloom.functions.lexing import mask, pairs
@@ -97,6 +100,41 @@ def test_copies(spark):
     assert handwritten.not_handwritten(files.withColumnRenamed("x", "language").limit(0), texts.limit(0)).count() == 0
 
 
+def brute_copies(texts):
+    lines = {p: {x.strip(" ") for x in t.splitlines() if len(x.strip(" ")) >= handwritten.MIN_LINE} for p, t in texts.items()}
+    repo = lambda p: p.split("/")[0]
+    return {p for p, x in lines.items() if len(x) >= handwritten.MIN_LINES and any(repo(q) != repo(p) and len(x & y) >= handwritten.CONTAINED * len(x) for q, y in lines.items())}
+
+
+def copies_of(spark, texts):
+    held, classes = handwritten.line_classes(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    return {r.path: (r.other, r.share) for r in handwritten.copied_lines(held, classes, handwritten.class_links(classes)).collect()}
+
+
+def test_copies_of_any_version(spark):
+    """Whatever the order of names: v1 stands in two repositories, v2 with 70 of its 100 lines in a third."""
+    v1 = "".join(f"    value_{i} = compute_{i}(input)\n" for i in range(100))
+    v2 = "".join(f"    value_{i} = compute_{i}({'input' if i < 70 else 'changed'})\n" for i in range(100))
+    texts = {}
+    for k, names in enumerate(itertools.permutations("ABC")):
+        texts |= {f"{names[j]}{k}/f{k}.py": f"# group {k} of all\n" + t.replace("compute", f"compute{k}") for j, t in enumerate((v1, v1, v2))}
+    frame = spark.createDataFrame([(p, t, "python") for p, t in texts.items()], "path string, content string, language string")
+    assert {r.path for r in handwritten.not_handwritten(frame.select("path", "language"), frame.select("path", "content")).collect()} == brute_copies(texts)
+    got = copies_of(spark, texts)
+    assert set(got) == brute_copies(texts) == {f"{n}{k}/f{k}.py" for k, names in enumerate(itertools.permutations("ABC")) for n in names[:2]}
+    assert all(share == 1.0 and other.split("/")[1] == path.split("/")[1] for path, (other, share) in got.items())
+
+
+def test_copies_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = {}
+    for k in range(120):
+        start, size = rng.randrange(3) * 100, rng.choice([4, 5, 6, 30, 40])
+        lines = [f"    value_{start + i} = compute(input)" for i in range(size)]
+        texts[f"r{rng.randrange(6)}/f{k}.py"] = "\n".join(x if rng.random() > rng.choice([0, 0.1, 0.3]) else f"    own_{k}_{rng.randrange(10**6)} = 1" for x in lines)
+    assert set(copies_of(spark, texts)) == brute_copies(texts)
+
+
 def F_lit(value):
     from pyspark.sql import functions as F
 
