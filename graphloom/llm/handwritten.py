@@ -168,20 +168,55 @@ def copied_lines(held: DataFrame, classes: DataFrame, links: DataFrame) -> DataF
     return equal.unionByName(best)
 
 
+def copy_groups(links: DataFrame) -> DataFrame:
+    """class, group: the least class that links lead to, in either direction, for every class that has a link."""
+    both = links.select(F.col("class").alias("x"), F.col("other").alias("y"))
+    both = cut_lineage(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    groups = both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("class"), F.least("x", "y").alias("group"))
+    while True:
+        groups = cut_lineage(groups)
+        near = both.join(groups.select(F.col("class").alias("y"), "group"), "y").groupBy("x").agg(F.min("group").alias("near")).withColumnRenamed("x", "class")
+        least = groups.join(near, "class").select("class", F.least("group", "near").alias("least"), "group")
+        above = groups.select(F.col("class").alias("least"), F.col("group").alias("further"))
+        moved = cut_lineage(least.join(above, "least", "left").select("class", F.least("least", F.coalesce("further", "least")).alias("to"), "group"))
+        if not moved.where("to <> group").limit(1).count():
+            return groups
+        groups = moved.select("class", F.col("to").alias("group"))
+
+
+def originals(held: DataFrame, classes: DataFrame, links: DataFrame, copies: DataFrame, marked: DataFrame) -> DataFrame:
+    """path: of each group of copies with a marked file, the one copy without a mark that counts as the original, if there is any.
+
+    It is the one of which a marked file holds (or is) the greatest share of its own lines, and of equal ones that with the smallest path.
+    """
+    known = held.select("path", "class").join(marked.withColumn("marked", F.lit(True)), "path", "left").withColumn("marked", F.coalesce("marked", F.lit(False)))
+    groups = classes.select("class").join(copy_groups(links), "class", "left").select("class", F.coalesce("group", "class").alias("group"))
+    signed = known.where("marked").select("class").distinct()
+    with_mark = signed.join(groups, "class").select("group").distinct()
+    near = links.join(signed, "class").select(F.col("other").alias("class"), "share").unionByName(signed.withColumn("share", F.lit(1.0))).groupBy("class").agg(F.max("share").alias("near"))
+    unmarked = known.where("not marked").join(copies.select("path"), "path", "left_semi").join(groups, "class").join(with_mark, "group", "left_semi")
+    ranked = unmarked.join(near, "class", "left").select("group", F.struct((-F.coalesce("near", F.lit(0.0))).alias("far"), "path").alias("k"))
+    return ranked.groupBy("group").agg(F.min("k").alias("k")).select("k.path")
+
+
 def not_handwritten(files: DataFrame, contents: DataFrame) -> DataFrame:
     """Files that nobody wrote by hand in their repository: path, reason ('generated', 'minified', 'vendored', 'data'), other.
 
-    Of two repositories' copies, one that path and opening comment mark as a copy leaves the other as the original.
+    Copies that hold each other's lines, directly or over others, are a group.  In a group with a file that path or
+    opening comment mark as a copy, one file without such a mark is left as the original.
     Files without text, with null paths or missing from ``files`` are no cases; repeated rows count once.
     """
     ruled = cut_lineage(rules(files, contents).where("rule is not null or marked"))
     held, classes = line_classes(contents)
-    copies = copied_lines(held, classes, class_links(classes))
-    marked = ruled.where("marked").select(F.col("path").alias("other"), F.lit(True).alias("original"))
-    copies = copies.join(marked, "other", "left").select("path", "other", F.coalesce("original", F.lit(False)).alias("original"))
-    joined = copies.join(files.select("path").distinct(), "path", "left_semi").join(ruled, "path", "full")
-    first = F.coalesce("original", F.lit(False)) & ~F.coalesce("marked", F.lit(False))
-    reason = F.coalesce(F.col("rule"), F.when(F.col("other").isNotNull() & ~first, F.lit("vendored")))
+    links = cut_lineage(class_links(classes))
+    copies = cut_lineage(copied_lines(held, classes, links).join(files.select("path").distinct(), "path", "left_semi"))
+    marked = ruled.where("marked").select("path").distinct()
+    joined = copies.select("path", "other").join(ruled, "path", "full")
+    if copies.join(marked, "path", "left_anti").limit(1).count():
+        joined = joined.join(originals(held, classes, links, copies, marked).withColumn("original", F.lit(True)), "path", "left")
+    else:
+        joined = joined.withColumn("original", F.lit(False))
+    reason = F.coalesce(F.col("rule"), F.when(F.col("other").isNotNull() & ~F.coalesce("original", F.lit(False)), F.lit("vendored")))
     return joined.select("path", reason.alias("reason"), "other").where("reason is not null").groupBy("path").agg(
         F.min("reason").alias("reason"), F.min("other").alias("other")
     )

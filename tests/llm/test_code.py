@@ -125,6 +125,33 @@ def test_copies_of_any_version(spark):
     assert all(share == 1.0 and other.split("/")[1] == path.split("/")[1] for path, (other, share) in got.items())
 
 
+def test_one_original_per_group_of_copies(spark):
+    """Original, header-less copy, a third version and a vendored copy, in all orders of names; a group without a mark, and one with one unmarked file."""
+    text = lambda k, other=0: "".join(f"    value_{i} = compute{k}_{i}({'input' if i >= other else 'changed'})\n" for i in range(100))
+    texts, groups = {}, []
+    for k, names in enumerate(itertools.permutations("ABCD")):
+        groups.append([f"{names[0]}{k}/o.py", f"{names[1]}{k}/c.py", f"{names[2]}{k}/e.py", f"{names[3]}{k}/vendor/v.py"])
+        texts |= dict(zip(groups[-1], (text(k), text(k), text(k, 15), text(k))))
+    texts |= {"E/o.py": text("x"), "F/o.py": text("x", 9), "G/o.py": text("y"), "H/vendor/o.py": text("y")}
+    frame = spark.createDataFrame([(p, t, "python") for p, t in texts.items()], "path string, content string, language string")
+    got = {r.path for r in handwritten.not_handwritten(frame.select("path", "language"), frame.select("path", "content")).collect()}
+    for g in groups:
+        assert {min(g[:2])} == set(g) - got, g
+    assert got >= {"E/o.py", "F/o.py", "H/vendor/o.py"} and "G/o.py" not in got
+
+
+def test_groups_of_copies(spark):
+    rng = random.Random(2)
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    rng.shuffle(pairs)
+    want = {x: x for p in pairs for x in p}
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = handwritten.copy_groups(spark.createDataFrame(pairs, "class bigint, other bigint"))
+    assert {r["class"]: r["group"] for r in got.collect()} == want
+
+
 def test_copies_against_brute_force(spark):
     rng = random.Random(6)
     texts = {}
