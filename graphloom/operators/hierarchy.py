@@ -231,11 +231,34 @@ def ancestors(tree: DataFrame) -> DataFrame:
     return ways
 
 
-def paths(tree: DataFrame) -> DataFrame:
-    """node_id, root_id, depth, path (ids from the root down, as an array) and descendants (their number)."""
+def descendants(edges: DataFrame, kind: str = "contains") -> DataFrame:
+    """ancestor_id, node_id, steps (the fewest): every id and all others below it over any of their parents, through cycles too.
+
+    By doubling: ways of exactly 2^k steps are carried on by those of up to 2^k; a pair is kept at its fewest steps.  No id
+    is below itself.  As many rows as there are such pairs.
+    """
+    links = edges.where(F.col("kind") == kind).where("source is not null and target is not null and source <> target").select(F.col("source").alias("ancestor_id"), F.col("target").alias("node_id"))
+    ways, reach = cut_lineage(links.distinct().withColumn("steps", F.lit(1).cast("bigint"))), 1
+    while True:
+        longest = ways.where(F.col("steps") == reach).select("ancestor_id", F.col("node_id").alias("mid"))
+        further = (
+            longest.join(ways.select(F.col("ancestor_id").alias("mid"), "node_id", "steps"), "mid").where("ancestor_id <> node_id")
+            .groupBy("ancestor_id", "node_id").agg((F.min("steps") + reach).alias("steps"))
+        )
+        new = cut_lineage(further.join(ways.select("ancestor_id", "node_id"), ["ancestor_id", "node_id"], "left_anti"))
+        if not new.limit(1).count():
+            return ways
+        ways, reach = ways.unionByName(new), reach * 2  # each part is a table already
+
+
+def paths(tree: DataFrame, below: DataFrame | None = None) -> DataFrame:
+    """node_id, root_id, depth, path (ids from the root down, as an array) and descendants (their number).
+
+    below: the rows of ``descendants``, which are counted; without them, only ids that hang below in the tree itself count.
+    """
     above = cut_lineage(ancestors(tree))
     chain = above.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("s"), "ancestor_id"))).alias("up"))
-    below = above.groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("descendants"))
+    below = (above if below is None else below).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("descendants"))
     return tree.join(chain, "node_id", "left").join(below, "node_id", "left").select(
         "node_id",
         "root_id",

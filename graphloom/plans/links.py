@@ -20,7 +20,13 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
     checkpoint_folder(spark)
-    return hierarchy.paths(hierarchy.hierarchy(table(spark, folder, "edges"), with_parent=True))
+    edges = table(spark, folder, "edges")
+    return hierarchy.paths(hierarchy.hierarchy(edges, with_parent=True), hierarchy.descendants(edges))
+
+
+def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    checkpoint_folder(spark)
+    return hierarchy.descendants(table(spark, folder, "edges"))
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +79,7 @@ cases AS (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_paths, p5_found, p5_rates)}
+    return {f.__name__: f for f in (p3_found, p3_paths, p3_descendants, p5_found, p5_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

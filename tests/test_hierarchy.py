@@ -75,6 +75,34 @@ def test_several_parents_without_cycle(spark):
     assert found(H.hierarchy(frame(spark, pairs))) == walk(pairs)
 
 
+def below(pairs):
+    """ancestor, node, fewest steps: a search from every id over all its links."""
+    children = defaultdict(set)
+    for s, t in pairs:
+        if s is not None and t is not None:
+            children[s].add(t)
+    out = set()
+    for start in list(children):
+        seen, level, k = {start}, {start}, 0
+        while level:
+            level, k = {c for n in level for c in children.get(n, ())} - seen, k + 1
+            seen |= level
+            out |= {(start, n, k) for n in level}
+    return out
+
+
+@pytest.mark.parametrize("pairs", [[("r", "a"), ("r", "b"), ("b", "c"), ("a", "m"), ("c", "m"), ("m", "leaf")], dirty(1)])
+def test_descendants_over_all_parents(spark, tmp_path, pairs):
+    from graphloom.plans import links
+
+    frame(spark, pairs).write.parquet(str(tmp_path / "edges.parquet"))
+    want = below(pairs)
+    rows = [tuple(r) for r in links.queries()["p3_descendants"](spark, str(tmp_path)).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    got = {r.node_id: r.descendants for r in links.queries()["p3_paths"](spark, str(tmp_path)).collect()}
+    assert all(n == sum(a == i for a, *_ in want) for i, n in got.items()) and {a for a, *_ in want} <= set(got)
+
+
 def test_empty(spark):
     assert H.hierarchy(frame(spark, [])).where("node_id <> 'x'").count() == 0
     assert H.paths(H.hierarchy(frame(spark, []), with_parent=True)).count() == 0
