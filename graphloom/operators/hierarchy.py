@@ -6,27 +6,35 @@ links between fragments form a smaller forest, which is solved in the same way,
 and its answers are put in front of the fragments.  A chain that comes back to
 itself inside a piece is a local cycle; one that runs through several shows up
 in a smaller forest.
+
+Links of the smaller forests are placed by a coin per id and level: a node that
+shows tails goes where its parent is if that shows heads.  Nodes nobody hangs
+below drop out, a quarter of the nodes with one child are joined with it, and
+nodes with several children are fewer than the ends, so a forest shrinks to
+three quarters or less whatever its shape, without any join.
 """
 
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, in_batches
 
 ROWS_PER_TASK = 150_000  # links that one task holds
-SHRINK = 0.7  # a quotient larger than this share of its forest is solved by doubling
+WAYS_PER_TASK = 400_000  # ways into nodes with several parents that one task puts in order
 FRAGMENT = "node string, top string, dist bigint, looped boolean"
+LINK = ("node", "top", "dist", "looped")
 
 
-def _climb(node: np.ndarray, top: np.ndarray, dist: np.ndarray) -> pd.DataFrame:
-    """Follow links inside one partition: per node the exit, the distance to it, and whether the way up never ends."""
+def _climb(node: np.ndarray, top: np.ndarray, dist: np.ndarray, way: list | None = None) -> pd.DataFrame:
+    """Follow links inside one partition: per node the exit, the distance to it, and whether the way up never ends (and the ids passed, if wanted)."""
     codes, names = pd.factorize(np.concatenate([node, top]))
     n, m = len(node), len(names)
     up = np.arange(m)
@@ -35,18 +43,31 @@ def _climb(node: np.ndarray, top: np.ndarray, dist: np.ndarray) -> pd.DataFrame:
     far[codes[:n]] = dist
     here = np.zeros(m, dtype=bool)
     here[codes[:n]] = True
+    hops = here.astype(np.int64)
     for _ in range(max(1, math.ceil(math.log2(m + 1)))):
         if not here[up[codes[:n]]].any():
             break
+        hops = hops + np.where(here[up], hops[up], 0)
         far = far + np.where(here[up], far[up], 0)
         up = np.where(here[up], up[up], up)
     at = codes[:n]
     looped = here[up[at]]
-    return pd.DataFrame({"node": node, "top": np.asarray(names, dtype=object)[up[at]], "dist": np.where(looped, -1, far[at]), "looped": looped})
+    out = pd.DataFrame({"node": node, "top": np.asarray(names, dtype=object)[up[at]], "dist": np.where(looped, -1, far[at]), "looped": looped})
+    if way is not None:
+        passed: list = [None] * m
+        for i in np.argsort(np.where(looped, -1, hops[at]), kind="stable"):  # what is nearer to the exit comes first
+            above = passed[codes[n + i]]
+            passed[at[i]] = [] if looped[i] else [*above, *way[i]] if above is not None else list(way[i])
+        out["way"] = [passed[c] for c in at]
+    return out
+
 
+def _fragments(rows_per_task: float, ways: bool):  # noqa: ANN202
+    """A function for batches that solves its partition in pieces. Rows without a top (heads of several parents) pass through."""
 
-def _fragments(rows_per_task: int):
-    """A function for mapInPandas that solves its partition in pieces. Rows without a top (heads of several parents) pass through."""
+    def solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(parts, ignore_index=True)
+        return _climb(whole["node"].to_numpy(dtype=object), whole["top"].to_numpy(dtype=object), whole["dist"].to_numpy(dtype=np.int64), list(whole["way"]) if ways else None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[pd.DataFrame] = []
@@ -59,51 +80,26 @@ def _fragments(rows_per_task: int):
             parts.append(b)
             held += len(b)
             if held >= rows_per_task:
-                yield _solve(parts)
+                yield solve(parts)
                 parts, held = [], 0
         if held:
-            yield _solve(parts)
+            yield solve(parts)
 
     return run
 
 
-def _solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    whole = pd.concat(parts, ignore_index=True)
-    return _climb(whole["node"].to_numpy(dtype=object), whole["top"].to_numpy(dtype=object), whole["dist"].to_numpy(dtype=np.int64))
-
-
-def _double(links: DataFrame, n: int) -> DataFrame:
-    """Each round joins every link with that of its top, so that distances double; what never ends is looped."""
-    state = links.withColumn("done", F.lit(False))
-    for _ in range(math.ceil(math.log2(n + 1)) + 1):
-        up = state.where("not looped").select(F.col("node").alias("u"), F.col("top").alias("utop"), F.col("dist").alias("udist"), F.col("done").alias("udone"))
-        loops = state.where("looped").select(F.col("node").alias("u"), F.lit(True).alias("uloop"))
-        state = cut_lineage(
-            state.join(up, (F.col("top") == F.col("u")) & ~F.col("done") & ~F.col("looped"), "left").drop("u")
-            .join(loops, (F.col("top") == F.col("u")) & ~F.col("done"), "left")
-            .select(
-                "node",
-                F.coalesce("utop", "top").alias("top"),
-                (F.col("dist") + F.coalesce("udist", F.lit(0))).alias("dist"),
-                (F.col("looped") | F.coalesce("uloop", F.lit(False))).alias("looped"),
-                (F.col("done") | (F.col("utop").isNull() & F.col("uloop").isNull())).alias("done"),
-            )
-        )
-        if not state.where("not done and not looped").limit(1).count():
-            break
-    return state.select("node", "top", "dist", (F.col("looped") | ~F.col("done")).alias("looped"))
+def _coin(name: str, level: int) -> Column:
+    return F.xxhash64(name, F.lit(level)) % 2 == 0
 
 
-def climb(links: DataFrame, rows_per_task: int = ROWS_PER_TASK, together: bool = False) -> DataFrame:
+def climb(links: DataFrame, rows_per_task: int = ROWS_PER_TASK, ways: bool = False, level: int = 0) -> DataFrame:
     """node, top, dist, looped for links (node, top, dist, looped) of which each node has one; a null top stays as it is.
 
-    together: the links are few enough for one piece.
+    ways: with the ids from below the top down to the node, as ``way``, which the links must have too.
     """
-    placed = (links.coalesce(1) if together else links).mapInPandas(_fragments(2**62 if together else rows_per_task), FRAGMENT)
-    if together:
-        return placed
-    fragments = cut_lineage(placed)
-    n = fragments.count()
+    schema = FRAGMENT + (", way array<string>" if ways else "")
+    columns = [*LINK, "way"] if ways else [*LINK]
+    fragments = cut_lineage(in_batches(links.select(*columns), _fragments(rows_per_task, ways), schema))
     exits = fragments.where("not looped and top is not null").select(F.col("top").alias("node")).distinct()
     between = fragments.where("top is not null").join(exits, "node", "left_semi")
     # What is on or below a local cycle stays there: a link to itself says so in the quotient.
@@ -112,15 +108,20 @@ def climb(links: DataFrame, rows_per_task: int = ROWS_PER_TASK, together: bool =
     if not m:
         return fragments
     if m <= rows_per_task:
-        quotient = climb(across, together=True)
+        quotient = in_batches(across.coalesce(1), _fragments(math.inf, ways), schema)
     else:
-        quotient = _double(across, m) if m > SHRINK * n else climb(across, rows_per_task)
-    above = quotient.select(F.col("node").alias("exit"), F.col("top").alias("further"), F.col("dist").alias("more"), F.col("looped").alias("endless"))
+        key = F.when(_coin("node", level) & ~_coin("top", level), F.col("top")).otherwise(F.col("node"))
+        # By range of key and node, so that a parent of very many is cut, too; what is cut is joined at a later level.
+        placed = across.repartitionByRange(-(-m // rows_per_task), key, F.xxhash64("node"))
+        quotient = cut_lineage(climb(placed, rows_per_task, ways, level + 1))
+    above = quotient.select(F.col("node").alias("exit"), F.col("top").alias("further"), F.col("dist").alias("more"), F.col("looped").alias("endless"), *([F.col("way").alias("before")] if ways else []))
+    whole = [F.concat(F.coalesce("before", F.array().cast("array<string>")), "way").alias("way")] if ways else []
     return fragments.join(above, F.col("top") == F.col("exit"), "left").select(
         "node",
         F.coalesce("further", "top").alias("top"),
         (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"),
         (F.col("looped") | F.coalesce("endless", F.lit(False))).alias("looped"),
+        *whole,
     )
 
 
@@ -137,35 +138,71 @@ def _ways(tops: DataFrame, several: DataFrame) -> DataFrame:
     )
 
 
-def _join_heads(several: DataFrame) -> DataFrame:
-    """head, root, depth, cyclic of nodes with several parents; solved in rounds, each for heads whose parents all are."""
-    ways = several
-    heads = ways.select("head").distinct()
-    solved: DataFrame | None = None
-    while True:
-        open_heads = heads if solved is None else heads.join(solved.select("head"), "head", "left_anti")
-        known = ways.join(open_heads, "head", "left_semi").join(heads.select(F.col("head").alias("h"), F.lit(True).alias("is_head")), F.col("top") == F.col("h"), "left").drop("h")
-        if solved is None:
-            known = known.withColumn("root", F.lit(None).cast("string")).withColumn("depth", F.lit(0).cast("bigint")).withColumn("cyclic", F.lit(None).cast("boolean"))
-        else:
-            known = known.join(solved.select(F.col("head").alias("top"), "root", "depth", "cyclic"), "top", "left")
-        ready = known.select(
-            "head",
-            (F.col("is_head").isNull() | F.col("root").isNotNull() | F.col("looped")).alias("ready"),
-            (F.col("looped") | F.coalesce("cyclic", F.lit(False))).alias("bad"),
-            F.struct((F.col("dist") + F.coalesce("depth", F.lit(0))).alias("depth"), F.coalesce("root", "top").alias("root"), "source").alias("way"),
-        )
+HEAD = "head string, root string, depth bigint, cyclic boolean, parent string"
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Heads of one partition in an order in which each comes after the heads above it; those that have none lie on or below a cycle."""
+    ways = defaultdict(list)
+    for b in batches:
+        for head, *way in zip(b["head"], b["source"], b["top"], b["dist"].tolist(), b["looped"].tolist()):
+            ways[head].append(way)
+    below, waits = defaultdict(list), {}
+    for head, several in ways.items():
+        tops = {top for _, top, _, looped in several if not looped and top in ways}
+        waits[head] = len(tops)
+        for top in tops:
+            below[top].append(head)
+    solved: dict[str, tuple] = {}
+    ready = [h for h, n in waits.items() if not n]
+    while ready:
+        head = ready.pop()
+        best, bad = None, False
+        for source, top, dist, looped in ways[head]:
+            root, depth, cyclic, _ = solved.get(top, (top, 0, False, None))
+            bad |= looped or cyclic
+            best = max(best or (-1,), (dist + depth, root, source))
+        solved[head] = ("", -1, True, None) if bad else (best[1], best[0], False, best[2])
+        for h in below[head]:
+            waits[h] -= 1
+            if not waits[h]:
+                ready.append(h)
+    yield pd.DataFrame([(h, *solved.get(h, ("", -1, True, None))) for h in ways], columns=["head", "root", "depth", "cyclic", "parent"])
+
+
+def _join_heads(ways: DataFrame, ways_per_task: int = WAYS_PER_TASK) -> DataFrame:
+    """head, root, depth, cyclic, parent of nodes with several parents.
+
+    As long as the ways that are open are too many for one task, rounds solve the heads that have no open head above
+    them and put their answers into the other ways.
+    """
+    solved: list[DataFrame] = []
+    open_ways = ways.select("head", "source", "top", "dist", "looped")
+    while open_ways.count() > ways_per_task:
+        waiting = open_ways.select(F.col("head").alias("top"), F.lit(True).alias("waits")).distinct()
+        state = open_ways.join(waiting, "top", "left").withColumn("waits", F.coalesce("waits", F.lit(False)) & ~F.col("looped"))
+        way = F.struct("dist", "top", "source")
         new = cut_lineage(
-            ready.groupBy("head").agg(F.min("ready").alias("ready"), F.max("bad").alias("cyclic"), F.max("way").alias("way"))
-            .where("ready or cyclic")
-            .select("head", F.col("way.root").alias("root"), F.col("way.depth").alias("depth"), "cyclic", F.col("way.source").alias("parent"))
+            state.groupBy("head").agg(F.max("waits").alias("waits"), F.max("looped").alias("cyclic"), F.max(way).alias("way")).where("cyclic or not waits")
+            .select("head", F.when(F.col("cyclic"), "").otherwise(F.col("way.top")).alias("root"), F.when(F.col("cyclic"), F.lit(-1).cast("bigint")).otherwise(F.col("way.dist")).alias("depth"), "cyclic", F.when(~F.col("cyclic"), F.col("way.source")).alias("parent"))
         )
-        if not new.limit(1).count():
+        if not new.limit(1).count():  # all that is left lies on or below a cycle
+            solved.append(open_ways.select("head").distinct().select("head", F.lit("").alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("cyclic"), F.lit(None).cast("string").alias("parent")))
             break
-        solved = new if solved is None else cut_lineage(solved.unionByName(new))
-    rest = heads if solved is None else heads.join(solved.select("head"), "head", "left_anti")
-    circling = rest.select("head", F.lit("").alias("root"), F.lit(-1).cast("bigint").alias("depth"), F.lit(True).alias("cyclic"), F.lit(None).cast("string").alias("parent"))
-    return circling if solved is None else solved.unionByName(circling)
+        solved.append(new)
+        known = new.select(F.col("head").alias("top"), "root", F.col("depth").alias("more"), "cyclic")
+        open_ways = cut_lineage(
+            open_ways.join(new.select("head"), "head", "left_anti").join(known, "top", "left").select(
+                "head", "source", F.when(F.col("cyclic"), F.col("top")).otherwise(F.coalesce("root", "top")).alias("top"),
+                (F.col("dist") + F.when(F.col("more") > 0, F.col("more")).otherwise(0)).alias("dist"), (F.col("looped") | F.coalesce("cyclic", F.lit(False))).alias("looped"),
+            )
+        )
+    else:
+        solved.append(in_batches(open_ways.coalesce(1), _in_order, HEAD))
+    out = solved[0]
+    for part in solved[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def hierarchy(edges: DataFrame, kind: str = "contains", rows_per_task: int = ROWS_PER_TASK, with_parent: bool = False) -> DataFrame:
@@ -215,54 +252,66 @@ def hierarchy(edges: DataFrame, kind: str = "contains", rows_per_task: int = ROW
     )
 
 
-def ancestors(tree: DataFrame) -> DataFrame:
-    """ancestor_id, node_id, steps (1 and more) from the rows of ``hierarchy``, by doubling: each round joins ways of up to 2^k steps with those of 2^k.
+def paths(tree: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """node_id, root_id, depth, path from the rows of ``hierarchy`` with parents: ids from the root down, put together from the paths of fragments.
 
-    As many rows as there are pairs of a node and a node above it; ids on or below a cycle are in none.
+    Ids on or below a cycle have a null path.
     """
-    links = tree.where(F.col("parent_id").isNotNull()).select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).cast("bigint").alias("steps"))
-    ways, reach = cut_lineage(links), 1
-    deepest = tree.agg(F.max("depth")).first()[0] or 0
-    while reach < deepest:
-        longest = ways.where(F.col("steps") == reach).select("node_id", F.col("ancestor_id").alias("mid"))
-        further = longest.join(ways.select(F.col("node_id").alias("mid"), "ancestor_id", "steps"), "mid").select("node_id", "ancestor_id", (F.col("steps") + reach).alias("steps"))
-        ways = cut_lineage(ways.unionByName(further))
-        reach *= 2
-    return ways
+    tree = cut_lineage(tree)
+    links = tree.where("parent_id is not null").select(F.col("node_id").alias("node"), F.col("parent_id").alias("top"), F.lit(1).cast("bigint").alias("dist"), F.lit(False).alias("looped"), F.array("node_id").alias("way"))
+    below = climb(links, rows_per_task, ways=True).select(F.col("node").alias("node_id"), F.concat(F.array("top"), "way").alias("way"))
+    return tree.join(below, "node_id", "left").select(
+        "node_id", "root_id", "depth", "parent_id", F.when(F.col("depth") >= 0, F.coalesce("way", F.array("node_id"))).alias("path")
+    )
 
 
-def descendants(edges: DataFrame, kind: str = "contains") -> DataFrame:
-    """ancestor_id, node_id, steps (the fewest): every id and all others below it over any of their parents, through cycles too.
+def _shortest(pairs: DataFrame, *key: str) -> DataFrame:
+    return pairs.groupBy(*key).agg(F.min("steps").alias("steps"))
+
 
-    By doubling: ways of exactly 2^k steps are carried on by those of up to 2^k; a pair is kept at its fewest steps.  No id
-    is below itself.  As many rows as there are such pairs.
+def descendants_of(placed: DataFrame, edges: DataFrame, kind: str = "contains") -> DataFrame:
+    """ancestor_id, node_id, steps (the fewest) from the rows of ``paths``: every id and all others below it over any of their parents, through cycles too.
+
+    Paths give the pairs of the tree without a shuffle.  The links that the tree leaves out (further parents, and all
+    into ids on or below a cycle) are closed among themselves by doubling, and their pairs are met with those of the
+    tree for the ids below them only.  No id is below itself.  As many rows as there are such pairs.
     """
-    links = edges.where(F.col("kind") == kind).where("source is not null and target is not null and source <> target").select(F.col("source").alias("ancestor_id"), F.col("target").alias("node_id"))
-    ways, reach = cut_lineage(links.distinct().withColumn("steps", F.lit(1).cast("bigint"))), 1
+    own = placed.select("node_id", "parent_id", F.coalesce("path", F.array("node_id")).alias("path"))
+    links = edges.where(F.col("kind") == kind).where("source is not null and target is not null and source <> target").select("source", "target").distinct()
+    left_out = cut_lineage(links.join(own.select(F.col("node_id").alias("target"), "parent_id"), "target").where("parent_id is null or parent_id <> source").select("source", "target"))
+    inside = own.select("node_id", F.posexplode(F.reverse("path")).alias("steps", "ancestor_id")).withColumn("steps", F.col("steps").cast("bigint"))
+    if not left_out.limit(1).count():
+        return inside.where("steps > 0").select("ancestor_id", "node_id", "steps")
+    targets = left_out.select(F.col("target").alias("ancestor_id")).distinct()
+    sources = left_out.select(F.col("source").alias("node_id")).distinct()
+    above = own.join(sources, "node_id", "left_semi").select(F.col("node_id").alias("source"), F.posexplode(F.reverse("path")).alias("steps", "ancestor_id"))
+    into = cut_lineage(_shortest(left_out.join(above, "source").select("ancestor_id", "target", (F.col("steps") + 1).cast("bigint").alias("steps")), "ancestor_id", "target"))
+    # From target to target, each time over one link that the tree leaves out; then over 2, 4, ...
+    closed = cut_lineage(into.join(targets, "ancestor_id", "left_semi"))
     while True:
-        longest = ways.where(F.col("steps") == reach).select("ancestor_id", F.col("node_id").alias("mid"))
-        further = (
-            longest.join(ways.select(F.col("ancestor_id").alias("mid"), "node_id", "steps"), "mid").where("ancestor_id <> node_id")
-            .groupBy("ancestor_id", "node_id").agg((F.min("steps") + reach).alias("steps"))
-        )
-        new = cut_lineage(further.join(ways.select("ancestor_id", "node_id"), ["ancestor_id", "node_id"], "left_anti"))
-        if not new.limit(1).count():
-            return ways
-        ways, reach = ways.unionByName(new), reach * 2  # each part is a table already
+        far = closed.select("ancestor_id", F.col("target").alias("mid"), F.col("steps").alias("first")).join(closed.select(F.col("ancestor_id").alias("mid"), "target", F.col("steps").alias("then")), "mid")
+        more = cut_lineage(_shortest(far.select("ancestor_id", "target", (F.col("first") + F.col("then")).alias("steps")).unionByName(closed), "ancestor_id", "target"))
+        same = more.join(closed, ["ancestor_id", "target", "steps"], "left_anti").limit(1).count() == 0
+        closed = more
+        if same:
+            break
+    beyond = into.join(closed.select(F.col("ancestor_id").alias("mid"), F.col("target").alias("further"), F.col("steps").alias("then")), F.col("target") == F.col("mid"))
+    all_into = cut_lineage(_shortest(into.unionByName(beyond.select("ancestor_id", F.col("further").alias("target"), (F.col("steps") + F.col("then")).alias("steps"))), "ancestor_id", "target"))
+    under = cut_lineage(inside.join(targets, "ancestor_id", "left_semi").select(F.col("ancestor_id").alias("target"), "node_id", F.col("steps").alias("then")))
+    touched = under.select("node_id").distinct()
+    further = all_into.join(under, "target").where("ancestor_id <> node_id").select("ancestor_id", "node_id", (F.col("steps") + F.col("then")).alias("steps"))
+    tree_pairs = lambda rows: rows.select("node_id", F.posexplode(F.reverse("path")).alias("steps", "ancestor_id")).where("steps > 0").select("ancestor_id", "node_id", F.col("steps").cast("bigint").alias("steps"))
+    both = _shortest(further.unionByName(tree_pairs(own.join(touched, "node_id", "left_semi"))), "ancestor_id", "node_id")
+    return tree_pairs(own.join(touched, "node_id", "left_anti")).unionByName(both)
 
 
-def paths(tree: DataFrame, below: DataFrame | None = None) -> DataFrame:
-    """node_id, root_id, depth, path (ids from the root down, as an array) and descendants (their number).
+def descendants(edges: DataFrame, kind: str = "contains") -> DataFrame:
+    """The pairs of ``descendants_of`` from the links alone."""
+    return descendants_of(cut_lineage(paths(hierarchy(edges, kind, with_parent=True))), edges, kind)
 
-    below: the rows of ``descendants``, which are counted; without them, only ids that hang below in the tree itself count.
-    """
-    above = cut_lineage(ancestors(tree))
-    chain = above.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("s"), "ancestor_id"))).alias("up"))
-    below = (above if below is None else below).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("descendants"))
-    return tree.join(chain, "node_id", "left").join(below, "node_id", "left").select(
-        "node_id",
-        "root_id",
-        "depth",
-        F.when(F.col("depth") >= 0, F.concat(F.coalesce(F.transform("up", lambda x: x["ancestor_id"]), F.array().cast("array<string>")), F.array("node_id"))).alias("path"),
-        F.coalesce("descendants", F.lit(0).cast("bigint")).alias("descendants"),
-    )
+
+def with_descendants(edges: DataFrame, kind: str = "contains") -> DataFrame:
+    """node_id, root_id, depth, path and descendants (the number of ids below, over all parents)."""
+    placed = cut_lineage(paths(hierarchy(edges, kind, with_parent=True)))
+    counts = descendants_of(placed, edges, kind).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("descendants"))
+    return placed.join(counts, "node_id", "left").select("node_id", "root_id", "depth", "path", F.coalesce("descendants", F.lit(0).cast("bigint")).alias("descendants"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.operators import hierarchy, orphans
 from graphloom.session import checkpoint_folder
@@ -20,8 +21,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, folder: str) -> DataFrame:
     checkpoint_folder(spark)
-    edges = table(spark, folder, "edges")
-    return hierarchy.paths(hierarchy.hierarchy(edges, with_parent=True), hierarchy.descendants(edges))
+    found = hierarchy.with_descendants(table(spark, folder, "edges"))
+    return found.select("node_id", "root_id", "depth", F.array_join("path", " > ").alias("path"), "descendants")
 
 
 def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,7 +53,7 @@ up AS (
 ),
 caught AS (SELECT DISTINCT id FROM up WHERE circling),
 tops AS (SELECT id, here, way FROM up WHERE NOT circling AND here NOT IN (SELECT target FROM links)),
-best AS (SELECT id, max({'n': len(way), 'root': here}) AS b FROM tops WHERE id NOT IN (SELECT id FROM caught) GROUP BY id)
+best AS (SELECT id, max({'n': len(way), 'root': here, 'way': way}) AS b FROM tops WHERE id NOT IN (SELECT id FROM caught) GROUP BY id)
 """
 
 _STATES = """
@@ -88,6 +89,13 @@ def oracle_sql() -> dict[str, str]:
         + """SELECT i.id AS node_id, CASE WHEN c.id IS NOT NULL THEN 'cycle' ELSE b.b.root END AS root_id,
         CASE WHEN c.id IS NOT NULL THEN -1 ELSE b.b.n - 1 END AS depth
         FROM ids i LEFT JOIN caught c ON c.id = i.id LEFT JOIN best b ON b.id = i.id""",
+        "p3_paths": _CLIMB
+        + """, below AS (SELECT here AS id, count(DISTINCT id) AS n FROM up WHERE here <> id GROUP BY here)
+        SELECT i.id AS node_id, CASE WHEN c.id IS NOT NULL THEN 'cycle' ELSE b.b.root END AS root_id,
+        CASE WHEN c.id IS NOT NULL THEN -1 ELSE b.b.n - 1 END AS depth,
+        CASE WHEN c.id IS NULL THEN array_to_string(list_reverse(b.b.way), ' > ') END AS path, coalesce(d.n, 0) AS descendants
+        FROM ids i LEFT JOIN caught c ON c.id = i.id LEFT JOIN best b ON b.id = i.id LEFT JOIN below d ON d.id = i.id""",
+        "p3_descendants": _CLIMB + "SELECT here AS ancestor_id, id AS node_id, min(len(way) - 1) AS steps FROM up WHERE here <> id GROUP BY here, id",
         "p5_found": _STATES + "SELECT DISTINCT edge_id, endpoint, reason FROM cases WHERE reason IS NOT NULL",
         "p5_rates": _STATES
         + """SELECT kind, strftime(epoch_ms(indexed_at), '%Y-%m') AS month, endpoint, reason, count(*) AS orphans

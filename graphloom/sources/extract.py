@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import names
 from graphloom.functions.lexing import line_of, line_starts, mask, pairs
-from graphloom.session import spread
+from graphloom.session import in_batches, spread
 
 ROW = (
     "tag string, id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, "
@@ -312,7 +312,7 @@ def extract(contents: DataFrame) -> DataFrame:
                 out[c] = out[c].map(lambda v: None if v is None or v != v else bool(v)).astype("boolean")
             yield out.where(out.notna(), None)
 
-    return spread(text).mapInPandas(run, ROW)
+    return in_batches(spread(text), run, ROW)
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
