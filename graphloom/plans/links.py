@@ -30,12 +30,13 @@ def p3_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.descendants(table(spark, folder, "edges"))
 
 
-def _orphans(spark: SparkSession, folder: str) -> DataFrame:
-    return orphans.orphans(*(table(spark, folder, t) for t in ("edges", "nodes", "node_removals")))
+def _orphans(spark: SparkSession, folder: str, **more: bool) -> DataFrame:
+    checkpoint_folder(spark)
+    return orphans.orphans(*(table(spark, folder, t) for t in ("edges", "nodes", "node_removals")), **more)
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select("edge_id", "endpoint", "reason").distinct()
+    return _orphans(spark, folder, with_kind=False).distinct()
 
 
 def p5_rates(spark: SparkSession, folder: str) -> DataFrame:

@@ -32,8 +32,10 @@ def plain(edges, nodes, removals):
     return out
 
 
-@pytest.mark.parametrize(("events", "references"), [(5, 20), (10**6, 10**6)])
-def test_random(spark, events, references):
+@pytest.mark.parametrize(("events", "references", "hashed"), [(5, 20, O.F.xxhash64), (10**6, 10**6, O.F.xxhash64), (30, 100, O.F.length)])
+def test_random(spark, monkeypatch, events, references, hashed):
+    """The last case gives all ids of one length the same hash."""
+    monkeypatch.setattr(O, "EVENTS_PER_RANGE", events)
     rng = random.Random(9)
     ids = ["", "a", "a\x00", "é", "é", "日本", "A", "hot", *(f"k{i}" for i in range(40))]
     nodes = [(rng.choice(ids), rng.randrange(50)) for _ in range(70)] + [("k1", 3), ("k1", 3), (None, 5), ("k2", None)]
@@ -45,6 +47,7 @@ def test_random(spark, events, references):
         spark.createDataFrame(removals, "id string, removed_at bigint"),
         events,
         references,
+        hashed=hashed,
     ).collect()
     assert {(r.edge_id, r.endpoint, r.reason) for r in got} == plain(edges, nodes, removals)
 
