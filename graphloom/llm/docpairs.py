@@ -3,9 +3,10 @@
 Source files are lexed with the string- and comment-aware machine of
 ``lexing``; braces (or indentation) delimit the functions, and the comment that
 ends right before a function, or the string inside it, is its documentation.
-A docstring of ``nodes`` is met with the lexed one; of its lines, comment
-markers, notices, tags and code are set aside, and what is left must say
-something.
+Only what the lexer delimits is a pair.  The row in force of ``nodes`` confirms
+the comment, or, where the symbol was indexed again with other documentation
+than the text at hand has, replaces it.  Comment markers, notices, tags and code
+are set aside, and what is left must say something.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexing import family, line_of, line_starts, mask, pairs
-from graphloom.session import spread
+from graphloom.session import in_batches, spread
 
 FUNCTION = "path string, name string, start_line int, end_line int, source_doc string, code string"
 
@@ -30,6 +31,7 @@ _HEAD = {
     "javascript": re.compile(
         r"^[ \t]*(?:(?:export|default|async|public|private|protected|static|readonly|override|abstract|get|set|declare)[ \t]+)*"
         r"(?:function[ \t]*\*?[ \t]*)?(?P<name>[A-Za-z_$][\w$]*)[ \t]*(?:<[^>\n]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)[ \t]*(?::[^{};=\n]+)?\{"
+        r"|(?<![\w$.])function[ \t]*\*?[ \t]*(?P<name3>[A-Za-z_$][\w$]*)[ \t]*\([^()]*\)[ \t]*\{"
         r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<name2>[A-Za-z_$][\w$]*)[^=\n]*=[ \t]*(?:async[ \t]+)?(?:function\b|\([^()]*\)[^=\n{]*=>|[\w$]+[ \t]*=>)",
         re.M,
     ),
@@ -54,7 +56,7 @@ def functions_of(text: str | None, language: str | None) -> list[tuple[str, int,
     string_at = dict(masked.strings)
     out = []
     for m in _HEAD[kind].finditer(code):
-        name = m["name"] or m.groupdict().get("name2")
+        name = next(x for k, x in m.groupdict().items() if x and k.startswith("name"))
         if name in _NOT_NAMES:
             continue
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
@@ -64,14 +66,13 @@ def functions_of(text: str | None, language: str | None) -> list[tuple[str, int,
             if (d := _PY_DOC.match(text, body)) and (stop := string_at.get(d.start(1))):
                 doc = [text[d.end(1) : stop - len(d[1])]]
         else:
-            at = code.find("{", m.end() - 1)
-            stop = code.find(";", m.end() - 1)
-            if at < 0 or (0 <= stop < at and kind != "javascript"):
-                end = stop + 1 if stop >= 0 else len(code)
-            else:
-                end = match.get(at, len(code) - 1) + 1
+            end = _extent(code, m, match, kind)
         if not doc:
-            doc = [comment_text(x) for x in _comment_above(text, starts, line_of(starts, begin) - 1, comment_at)]
+            same_line = len(text[starts[line_of(starts, begin) - 1] : begin].rstrip()) + starts[line_of(starts, begin) - 1]
+            if same_line in comment_at and comment_at[same_line] >= starts[line_of(starts, begin) - 1]:
+                doc = [comment_text(text[comment_at[same_line] : same_line])]
+            elif not code[starts[line_of(starts, begin) - 1] : begin].strip():
+                doc = [comment_text(x) for x in _comment_above(text, starts, line_of(starts, begin) - 1, comment_at)]
         out.append((name, line_of(starts, begin), line_of(starts, max(begin, end - 1)), "\n".join(doc) or None, text[begin:end]))
     return out
 
@@ -84,14 +85,40 @@ def comment_text(comment: str) -> str:
     return re.sub(r"^(?://+!?|#+!?)[ \t]?", "", comment.rstrip("\r"))
 
 
+_STOP = re.compile(r"[(\[{;]")
+_STOP_LINE = re.compile(r"[(\[{;\n]")
+
+
+def _extent(code: str, head: re.Match[str], match: dict[int, int], kind: str) -> int:
+    """Where a function ends: after its braces, after the semicolon of a declaration, or after the expression of an arrow function."""
+    at, stop = head.end() - 1, _STOP
+    if kind == "javascript" and head[0].endswith("=>"):
+        at = head.end()
+        while at < len(code) and code[at] in " \t\r\n":
+            at += 1
+        stop = _STOP if code[at : at + 1] == "{" else _STOP_LINE
+    while m := stop.search(code, at):
+        at = m.start()
+        if m[0] in ";\n":
+            return at + (m[0] == ";")
+        end = match.get(at, len(code) - 1) + 1
+        if m[0] == "{" and not (kind == "go" and code[max(0, at - 12) : at].rstrip().endswith(("interface", "struct"))):
+            return end
+        at = end
+    return len(code)
+
+
+_COLON = re.compile(r"[(\[{:]")
+
+
 def _python_extent(code: str, head: re.Match[str], match: dict[int, int]) -> tuple[int, int]:
     """Where a def ends, by indentation, and where its body begins."""
-    opener = code.find("(", head.end() - 1)
-    colon = code.find(":", match.get(opener, opener))
-    while 0 <= colon and any(o < colon < c for o, c in _within(match, opener, colon)):
-        colon = code.find(":", colon + 1)
-    if colon < 0:
+    colon = head.end() - 1
+    while (m := _COLON.search(code, colon)) and m[0] != ":":
+        colon = match.get(m.start(), len(code)) + 1
+    if not m:
         return len(code), len(code)
+    colon = m.start()
     indent = len(head["in"].expandtabs(8))
     end = at = code.find("\n", colon) + 1 or len(code)
     while at < len(code):
@@ -105,10 +132,6 @@ def _python_extent(code: str, head: re.Match[str], match: dict[int, int]) -> tup
     return end, colon + 1
 
 
-def _within(match: dict[int, int], low: int, high: int) -> list[tuple[int, int]]:
-    return [(o, c) for o, c in match.items() if low < o < high]
-
-
 def _comment_above(text: str, starts: list[int], line: int, comment_at: dict[int, int]) -> list[str]:
     """The block of comments, of any kind, that ends on the line before; decorators and attributes may stand between."""
     taken: list[str] = []
@@ -262,7 +285,7 @@ def lexed_functions(contents: DataFrame, with_code: bool = True) -> DataFrame:
             frame = pd.DataFrame(rows, columns=["path", "name", "start_line", "end_line", "source_doc", "code"])
             yield frame.astype({"start_line": "int32", "end_line": "int32"})
 
-    return spread(text.where("language is not null")).mapInPandas(run, FUNCTION)
+    return in_batches(spread(text.where("language is not null")), run, FUNCTION)
 
 
 # Extensions and their languages.
@@ -286,32 +309,33 @@ def _same(doc: str, source: str | None) -> bool:
 def function_pairs(nodes: DataFrame, contents: DataFrame, with_code: bool = True) -> DataFrame:
     """Code-description pairs of functions and methods whose row in force has a docstring that says something.
 
-    node_id, kind, name, signature, file_path, start_line, language, description, source_doc, code.  The source is lexed,
-    functions are delimited and their documentation attached; node and function meet at path, name and first line.
-    Where the docstring is the comment in the source, its text is taken from there, else the docstring itself is judged.
-    A node whose function isn't in its file (an old row, or text that doesn't lex) keeps a null source_doc and code.
-    Each id appears once; null ids, kinds and docstrings are no cases, and a null name only means that nothing is known
-    from it.
+    node_id, kind, name, signature, file_path, start_line, language, description, origin, code.  The source is lexed,
+    functions are delimited and their documentation attached; node and function meet at path, name and first line, and
+    a node without a function in its file (or whose file has no text) is no pair.  Where the row's docstring is the
+    attached comment (but for markers and white space), the description comes from the comment and origin is 'source';
+    where the symbol was indexed with other documentation than the text has, it comes from the row and origin is 'row'.
+    Each id appears once; null ids, kinds, names and docstrings are no cases.
     """
     functions = in_force(nodes).where(F.col("kind").isin("function", "method") & (F.length(F.trim("docstring")) > 0)).drop("end_line")
     lexed = lexed_functions(contents, with_code).withColumnRenamed("path", "file_path")
     lexed = lexed.groupBy("file_path", "name", "start_line").agg(F.max(F.struct("end_line", "source_doc", "code")).alias("f"))
-    joined = functions.join(lexed, ["file_path", "name", "start_line"], "left").select(
+    joined = functions.join(lexed, ["file_path", "name", "start_line"]).select(
         "node_id", "kind", "name", "signature", "file_path", "start_line", "language", "docstring", "f.source_doc", "f.code"
     )
-    columns = ["node_id", "kind", "name", "signature", "file_path", "start_line", "language", "description", "source_doc", "code"]
-    schema = "node_id string, kind string, name string, signature string, file_path string, start_line int, language string, description string, source_doc string, code string"
+    columns = ["node_id", "kind", "name", "signature", "file_path", "start_line", "language", "description", "origin", "code"]
+    schema = "node_id string, kind string, name string, signature string, file_path string, start_line int, language string, description string, origin string, code string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            origin = ["source" if _same(d, s) else "row" for d, s in zip(b["docstring"], b["source_doc"].fillna(""))]
             said = [
-                description(s if _same(d, s) else d, n or None, g or None)
-                for d, s, n, g in zip(b["docstring"], b["source_doc"].fillna(""), b["name"].fillna(""), b["signature"].fillna(""))
+                description(s if o == "source" else d, n, g or None)
+                for o, d, s, n, g in zip(origin, b["docstring"], b["source_doc"], b["name"], b["signature"].fillna(""))
             ]
-            b = b.assign(description=said)[[x is not None for x in said]]
+            b = b.assign(description=said, origin=origin)[[x is not None for x in said]]
             yield b.astype({"start_line": "Int32"})[columns]
 
-    return joined.mapInPandas(run, schema)
+    return in_batches(joined, run, schema)
 
 
 def documented(nodes: DataFrame, contents: DataFrame) -> DataFrame:

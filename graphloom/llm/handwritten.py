@@ -1,8 +1,8 @@
 """Problem 4: generated, minified, vendored and data files among source code.
 
-Two ways lead to a verdict.  Every file is lexed once and judged by its opening
-comment, its path and the composition of its tokens.  Beside that an inverted
-index of line hashes finds text that also stands in another repository.  Files
+An inverted index of rare line hashes finds text that also stands in another
+repository; the files that remain are judged by opening comment, path and the
+composition of their tokens.  Every file is lexed once.  Files
 with the same lines are one class.  A class of n lines that shall hold at least t
 of them elsewhere can't do without all of any m - t + 1 of its m lines that stand
 elsewhere at all, so the holders of its rarest m - t + 1 are all its candidates,
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexing import mask
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, in_batches
 
 MIN_LINE = 12  # characters of a line that is indexed
 MIN_LINES = 5  # distinct indexed lines of a file that can be a copy
@@ -116,7 +116,7 @@ def rules(files: DataFrame, contents: DataFrame) -> DataFrame:
             got = [judge(*x) for x in zip(b["path"], b["content"], b["language"])]
             yield pd.DataFrame({"path": b["path"], "rule": [g[0] for g in got], "marked": [g[1] for g in got]})
 
-    return text.join(named, "path").mapInPandas(run, JUDGED)
+    return in_batches(text.join(named, "path"), run, JUDGED)
 
 
 def line_classes(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,6 +202,7 @@ def originals(held: DataFrame, classes: DataFrame, links: DataFrame, copies: Dat
 def not_handwritten(files: DataFrame, contents: DataFrame) -> DataFrame:
     """Files that nobody wrote by hand in their repository: path, reason ('generated', 'minified', 'vendored', 'data'), other.
 
+    A file held by one of another repository is 'vendored'; opening comment, path and token composition judge the others.
     Copies that hold each other's lines, directly or over others, are a group.  In a group with a file that path or
     opening comment mark as a copy, one file without such a mark is left as the original.
     Files without text, with null paths or missing from ``files`` are no cases; repeated rows count once.
@@ -216,7 +217,8 @@ def not_handwritten(files: DataFrame, contents: DataFrame) -> DataFrame:
         joined = joined.join(originals(held, classes, links, copies, marked).withColumn("original", F.lit(True)), "path", "left")
     else:
         joined = joined.withColumn("original", F.lit(False))
-    reason = F.coalesce(F.col("rule"), F.when(F.col("other").isNotNull() & ~F.coalesce("original", F.lit(False)), F.lit("vendored")))
+    copied = F.col("other").isNotNull() & ~F.coalesce("original", F.lit(False))
+    reason = F.when(copied, F.lit("vendored")).otherwise(F.col("rule"))  # composition and marks judge the files that are no copies
     return joined.select("path", reason.alias("reason"), "other").where("reason is not null").groupBy("path").agg(
         F.min("reason").alias("reason"), F.min("other").alias("other")
     )

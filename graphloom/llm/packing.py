@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.session import cut_lineage, spread
+from graphloom.session import cut_lineage, in_batches, spread
 
 CAPACITY = 2048
 MAX_CAPACITY = 1 << 17  # the plan is held by the driver and grows with the capacity, not with the data
@@ -51,7 +51,7 @@ def token_counts(documents: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": np.array([len(encode(t)) for t in b["text"]], dtype=np.int64)})
 
     whole = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint"), "text")
-    return spread(whole).mapInPandas(run, "doc_id bigint, tokens bigint")
+    return in_batches(spread(whole), run, "doc_id bigint, tokens bigint")
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -145,7 +145,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
                 container=lambda x: x["container"].mask(pd.Series(container < 0, index=x.index))
             )
 
-    return ranked.mapInPandas(run, "doc_id bigint, piece bigint, tokens bigint, container bigint")
+    return in_batches(ranked, run, "doc_id bigint, piece bigint, tokens bigint, container bigint")
 
 
 def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from graphloom.session import cut_lineage
+from graphloom.session import cut_lineage, ship_package
 
 # Letters that look like a Latin letter, and the letters they look like, in the same order.
 LOOKALIKES = {
@@ -99,6 +99,7 @@ def _composed(s: pd.Series) -> pd.Series:
 
 def piece_forms(pieces: DataFrame) -> DataFrame:
     """piece, form of the distinct non-null strings in column ``piece``."""
+    ship_package(pieces.sparkSession)
     points = pieces.select("piece", F.posexplode(F.split("piece", "")).alias("i", "cp")).where("cp <> ''")
     parts = points.join(F.broadcast(_point_table(pieces.sparkSession)), "cp", "left").select(
         "piece", "i", F.posexplode(F.coalesce("parts", F.array(F.struct(F.col("cp").alias("c"), F.lit(0).alias("ccc"))))).alias("j", "part")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.lexing import family, line_of, line_starts, mask, pairs
+from graphloom.session import in_batches
 
 VERDICT = "path string, language string, repo string, error string, error_line int"
 
@@ -187,7 +188,7 @@ def check_files(files: DataFrame, contents: DataFrame) -> DataFrame:
                 }
             )
 
-    return named.join(text, "path").mapInPandas(run, VERDICT)
+    return in_batches(named.join(text, "path"), run, VERDICT)
 
 
 def broken_files(checked: DataFrame) -> DataFrame:

@@ -41,16 +41,35 @@ def test_functions_and_their_comments():
     assert docpairs.functions_of(None, "go") == [] and docpairs.functions_of("", None) == []
     (python,) = docpairs.functions_of('@cached\ndef f(a: int = "):") -> str:\n    """Says."""\n    return 1\n\nx = 1\n', "python")
     assert python[:4] == ("f", 2, 4, "Says.")
+    js = "/** Says. */function a(x){return x}var b=1;function c(){}\nconst d = (x) => x.map(y => y)\nconst e = () => {\n  return 1;\n};\n"
+    assert [(f[0], f[1], f[2], f[3]) for f in docpairs.functions_of(js, "javascript")] == [("a", 1, 1, "Says."), ("c", 1, 1, None), ("d", 2, 2, None), ("e", 3, 5, None)]
+    (go,) = docpairs.functions_of("package p\n\nfunc f(x struct{}) interface{} {\n\treturn x\n}\n", "go")
+    assert go[:3] == ("f", 3, 5)
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    def took(n):
+        text = "".join(f"# Says {i}.\ndef f{i}(a: int = (1)) -> dict[str, int]:\n    return g((a))\n" for i in range(n))
+        begun = time.perf_counter()
+        assert len(docpairs.functions_of(text, "python")) == n
+        return time.perf_counter() - begun
+
+    took(200)
+    assert took(8000) < 12 * took(2000) + 0.5
 
 
 def test_pairs(spark):
     schema = "id string, kind string, name string, signature string, file_path string, language string, start_line int, end_line int, docstring string, updated_at bigint, path string"
     row = lambda i, kind="function", doc="Blocks until a row arrives.", at=1, name="Pop": (i, kind, name, "(k int) string", "r/p.go", "go", 8, 11, doc, at, "clash")
-    nodes = spark.createDataFrame([row("a"), row("a"), row("b"), row("b", doc="TODO", at=2), row("c", "class"), row(None), row("d", None), row("e", doc=None), row("f", name=None)], schema)
+    nodes = spark.createDataFrame([row("a", doc="Pop blocks until a row arrives."), row("a", doc="Pop blocks until a row arrives."), row("b"), row("b", doc="TODO", at=2), row("c", "class"), row(None), row("d", None), row("e", doc=None), row("f", name=None)], schema)
     texts = spark.createDataFrame([("r/p.go", GO, 1), (None, GO, 1), ("r/q.go", None, 1)], "path string, content string, docstring int")
-    assert {r.node_id for r in docpairs.documented(nodes, texts).collect()} == {"a", "f"}
+    nodes = nodes.union(spark.createDataFrame([row("later", doc="Never returns nil.", at=3), row("gone", name="Lost")], schema))
     rows = {r.node_id: r for r in docpairs.function_pairs(nodes, texts).collect()}
-    assert rows["a"].code.startswith("func Pop") and rows["f"].code is None
+    assert {r.node_id for r in docpairs.documented(nodes, texts).collect()} == set(rows) == {"a", "later"}
+    assert all(r.code.startswith("func Pop") for r in rows.values()) and (rows["a"].origin, rows["later"].origin) == ("source", "row")
+    assert docpairs.documented(nodes, texts.where("path <> 'r/p.go'")).count() == 0  # what the lexer doesn't delimit is no pair
     assert docpairs.documented(nodes.limit(0), texts.limit(0)).count() == 0
 
 

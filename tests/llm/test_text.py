@@ -64,8 +64,10 @@ def test_token_counts(spark):
 ITEM = "Suppose that sluice number 10 mends the glazed pergola before any viaduct is moved, and the woven kiln keeps a tally of 7 querns"
 
 
-@pytest.mark.parametrize("cap", [10**6, 0])
-def test_leaks(spark, cap):
+@pytest.mark.parametrize("bits", [leakage.FILTER_BITS, 6])
+def test_leaks(spark, monkeypatch, bits):
+    """With 6 bits the filter lets almost everything pass."""
+    monkeypatch.setattr(leakage, "FILTER_BITS", bits)
     w = ITEM.split()
     swapped = [*w]
     for i in range(5, len(w), 9):
@@ -77,21 +79,35 @@ def test_leaks(spark, cap):
     bench = [(100, ITEM), (101, " ".join(w[:12]) + " something else entirely here now"), (102, "short"), (103, None), (None, ITEM), (100, ITEM)]
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id bigint, text string, item_id string")
     b = spark.createDataFrame(bench, "item_id bigint, text string")
-    found = leakage.hits(d, b, cap)
+    found = leakage.hits(d, b)
     want = {(k, i) for k, t in docs for i, x in bench if k is not None and i is not None and runs(t, x)}
     assert {tuple(r) for r in leakage.leaked(found).collect()} == want
     assert {(1, 100), (2, 100), (3, 100), (8, 100), (9, 100), (10, 100), (11, 100), (1, 101)} <= want and not any(k in (4, 5, 12) for k, _ in want)
     near = {(r.doc_id, r.item_id): r.best_equal for r in leakage.overlaps(found).collect()}
     assert near[(5, 100)] in (10, 11) and near[(1, 100)] == 12
-    assert leakage.hits(d.limit(0), b, cap).count() == 0 and leakage.hits(d, b.limit(0), cap).count() == 0
+    assert leakage.hits(d.limit(0), b).count() == 0 and leakage.hits(d, b.limit(0)).count() == 0
+
+
+def test_markup_of_any_length():
+    style = 'style="' + "color: red; " * 200 + '"\n class=x disabled'
+    w = ITEM.split()
+    assert leakage.words_of(f"<span {style}>" + f"</span> <span {style}>".join(w) + "</span><!-- not\nread -->") == leakage.words_of(ITEM)
+    assert leakage.words_of("a < b and <!-- c") == ["a", "b", "and", "c"]
+    assert len(leakage.words_of("<a " * 100_000)) == 100_000 and len(leakage.words_of("<!-- x " * 100_000)) == 100_000
+
+
+@pytest.mark.parametrize("replaced", [1, 2, 3])
+def test_recall_of_windows_with_replaced_words(replaced):
+    """Recall 1.0, for every set of one, two or three replaced words."""
+    sets = list(itertools.combinations(range(leakage.SPAN), replaced))
+    assert sum(any(all(m[i] == "0" for i in lost) for m in leakage.MASKS) for lost in sets) == len(sets)
 
 
 def test_masks_cover_every_set_of_replaced_words():
     assert all(any(all(m[i] == "0" for i in lost) for m in leakage.MASKS) for lost in itertools.combinations(range(leakage.SPAN), leakage.TOLERATED))
 
 
-@pytest.mark.parametrize("cap", [10**6, 0])
-def test_overlaps_against_brute_force(spark, cap):
+def test_overlaps_against_brute_force(spark):
     w, docs = [x.casefold() for x in ITEM.split()], []
     for stride in (4, 5, 7, 9):
         docs += [" ".join(f"other{i}" if i % stride == first else x for i, x in enumerate(w)) for first in range(stride)]
@@ -104,9 +120,9 @@ def test_overlaps_against_brute_force(spark, cap):
         want |= {(k, i, j, e) for (i, j), e in equal.items() if e >= 9}
     d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
     b = spark.createDataFrame([(100, ITEM)], "item_id bigint, text string")
-    assert {(r.doc_id, r.doc_at, r.item_at, r.equal) for r in leakage.hits(d, b, cap).collect()} == want
-    assert {(r.doc_id, r.doc_at, r.item_at, r.equal) for r in leakage.hits(d, b, cap, 0).collect()} == {x for x in want if x[3] == 12} != set()
-    assert {r[0] for r in leakage.overlaps(leakage.hits(d, b, cap)).collect()} == {k for k, *_ in want} >= set(range(4, 25))
+    assert {(r.doc_id, r.doc_at, r.item_at, r.equal) for r in leakage.hits(d, b).collect()} == want
+    assert {(r.doc_id, r.doc_at, r.item_at, r.equal) for r in leakage.hits(d, b, 0).collect()} == {x for x in want if x[3] == 12} != set()
+    assert {r[0] for r in leakage.overlaps(leakage.hits(d, b)).collect()} == {k for k, *_ in want} >= set(range(4, 25))
 
 
 def runs(a, b):
