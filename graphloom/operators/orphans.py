@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from graphloom.session import cut_lineage, in_batches
 
-EVENTS_PER_RANGE = 60_000
-REFERENCES_PER_TASK = 400_000
+EVENTS_PER_RANGE = 20_000
+REFERENCES_PER_TASK = 100_000
+TASKS = 20_000  # of larger tables, ranges and tasks grow so that there are about so many
 
 _FIELDS = {"edge_id": pa.int64(), "endpoint": pa.string(), "kind": pa.string(), "indexed_at": pa.int64(), "reason": pa.string()}
 
@@ -144,8 +145,8 @@ def orphans(
     reported each.  with_kind=False leaves out kind and indexed_at.  Ids of equal hash are told apart by their text.
     """
     n_events, n_edges = nodes.count() + removals.count(), edges.count()
-    cores = edges.sparkSession.sparkContext.defaultParallelism
-    ranges = max(1, -(-n_events // events_per_range), min(cores, -(-2 * n_edges // references_per_task)))
+    events_per_range, references_per_task = max(events_per_range, n_events // TASKS), max(references_per_task, 2 * n_edges // TASKS)
+    ranges = max(1, -(-n_events // events_per_range))
     placed = lambda df: df.withColumn("hash", hashed(F.col("id")).cast("bigint")).withColumn("range", F.least(F.floor((F.col("hash") / F.lit(2.0**64) + 0.5) * ranges), F.lit(ranges - 1)).cast("int"))
     ends = F.explode(F.array(F.struct(F.lit(True).alias("source"), F.col("source").alias("id")), F.struct(F.lit(False).alias("source"), F.col("target").alias("id"))))
     kinds = ["kind"] if with_kind else []
