@@ -282,8 +282,9 @@ def descendants_of(placed: DataFrame, edges: DataFrame, kind: str = "contains")
     inside = own.select("node_id", F.posexplode(F.reverse("path")).alias("steps", "ancestor_id")).withColumn("steps", F.col("steps").cast("bigint"))
     if not left_out.limit(1).count():
         return inside.where("steps > 0").select("ancestor_id", "node_id", "steps")
-    targets = left_out.select(F.col("target").alias("ancestor_id")).distinct()
-    sources = left_out.select(F.col("source").alias("node_id")).distinct()
+    # Tables of known size, so that where they are small the paths need not be shuffled to meet them.
+    targets = cut_lineage(left_out.select(F.col("target").alias("ancestor_id")).distinct())
+    sources = cut_lineage(left_out.select(F.col("source").alias("node_id")).distinct())
     above = own.join(sources, "node_id", "left_semi").select(F.col("node_id").alias("source"), F.posexplode(F.reverse("path")).alias("steps", "ancestor_id"))
     into = cut_lineage(_shortest(left_out.join(above, "source").select("ancestor_id", "target", (F.col("steps") + 1).cast("bigint").alias("steps")), "ancestor_id", "target"))
     # From target to target, each time over one link that the tree leaves out; then over 2, 4, ...
@@ -298,7 +299,7 @@ def descendants_of(placed: DataFrame, edges: DataFrame, kind: str = "contains")
     beyond = into.join(closed.select(F.col("ancestor_id").alias("mid"), F.col("target").alias("further"), F.col("steps").alias("then")), F.col("target") == F.col("mid"))
     all_into = cut_lineage(_shortest(into.unionByName(beyond.select("ancestor_id", F.col("further").alias("target"), (F.col("steps") + F.col("then")).alias("steps"))), "ancestor_id", "target"))
     under = cut_lineage(inside.join(targets, "ancestor_id", "left_semi").select(F.col("ancestor_id").alias("target"), "node_id", F.col("steps").alias("then")))
-    touched = under.select("node_id").distinct()
+    touched = cut_lineage(under.select("node_id").distinct())
     further = all_into.join(under, "target").where("ancestor_id <> node_id").select("ancestor_id", "node_id", (F.col("steps") + F.col("then")).alias("steps"))
     tree_pairs = lambda rows: rows.select("node_id", F.posexplode(F.reverse("path")).alias("steps", "ancestor_id")).where("steps > 0").select("ancestor_id", "node_id", F.col("steps").cast("bigint").alias("steps"))
     both = _shortest(further.unionByName(tree_pairs(own.join(touched, "node_id", "left_semi"))), "ancestor_id", "node_id")
