@@ -13,7 +13,7 @@ from graphloom.session import cut_lineage
 # Kinds of edges that calls, type hierarchies and random walks follow.
 CALL_KINDS = ("calls", "references", "imports", "instantiates")
 TYPE_KINDS = ("extends", "implements")
-WALK_KINDS = ("calls", "references", "imports", "instantiates", "extends", "implements", "contains", "overrides", "type_of")
+WALK_KINDS = ("calls", "references", "imports", "instantiates", "extends", "implements", "overrides", "type_of", "returns")
 
 
 def in_force(nodes: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, alpha: float
     alpha starts again at the seeds (at all nodes if no seed is among them).
     """
     nodes = cut_lineage(ids.select(F.col("id").alias("node_id")).distinct())
-    among = edges_between(of_kinds(edges, kinds), ids).select("source", "target")
+    among = edges_between(of_kinds(edges, kinds), ids).where("source <> target").select("source", "target")
     both = among.unionByName(among.select(F.col("target").alias("source"), F.col("source").alias("target")))
     weights = both.groupBy("source", "target").agg(F.count("*").alias("w"))
     degree = weights.groupBy("source").agg(F.sum("w").alias("d"))

@@ -4,81 +4,69 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.functions.query_text import match_terms
-
-# Columns of a node's text and their weights; the id counts for hits, not for the score.
-WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "signature": 2.0, "name_split": 8.0}
-# BM25's constants.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-# Accented letters and their plain forms, in the same order.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, in lower case and without accents."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, PLAIN)
-    return F.filter(F.split(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
+from graphloom.operators import fulltext
+from graphloom.operators.fulltext import B, K1, WEIGHTS, Index, tokens
+from graphloom.session import cut_lineage
 
 
 def postings(rows: DataFrame, key: str = "id", weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
-    """term, key, column, tf: the inverted index."""
+    """term, key, column, tf: the inverted index by column."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), tokens(F.col(c)).alias("terms")) for c in weights)))
     words = rows.select(F.col(key), each.alias("e")).select(key, "e.column", F.explode("e.terms").alias("term"))
     return words.groupBy("term", key, "column").agg(F.count("*").alias("tf"))
 
 
-def bm25(rows: DataFrame, query: str, weights: Mapping[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
-    """The rows that hold a word beginning with one of the query's terms, with ``score``.
+def bm25(rows: DataFrame, query: str, weights: Mapping[str, float] = WEIGHTS, k1: float = K1, b: float = B, key: str = "id", index: Index | None = None) -> DataFrame:
+    """The rows that hold a word beginning with one of the query's words, with ``score``; over a stored index if one is given."""
+    found = fulltext.rank(index or fulltext.build(rows, weights, key), [query], k1, b).select(F.col("id").alias("__id"), "score")
+    return rows.join(found, F.col(key) == F.col("__id")).drop("__id")
 
-    Two passes over the text columns: one for the number of rows, their mean length and each term's frequency (one row
-    of figures), one for the scores.  A row that is hit in a column of weight 0 alone is kept with score 0.
-    """
-    terms = [t for t in (re.sub(r"[^\w]+", " ", x.lower()).strip() for x in match_terms(query)) if t]
-    if not terms:
-        return rows.limit(0).withColumn("score", F.lit(0.0))
-    held = rows.withColumn("__t", F.struct(*(tokens(F.col(c)).alias(c) for c in weights)))
-    count = lambda c, t: F.size(F.filter(F.col(f"__t.{c}"), lambda x: x.startswith(t)))
-    total = sum((F.size(f"__t.{c}") for c in weights), F.lit(0))
-    in_any = [sum((count(c, t) for c in weights), F.lit(0)) for t in terms]
-    figures = held.agg(F.count("*").alias("n"), F.avg(total).alias("mean"), *(F.sum((x > 0).cast("int")).alias(f"df{i}") for i, x in enumerate(in_any))).first()
-    n, mean = figures["n"], figures["mean"] or 1.0
-    score: Column = F.lit(0.0)
-    for i, t in enumerate(terms):
-        df = figures[f"df{i}"] or 0
-        import math
-
-        idf = math.log((n - df + 0.5) / (df + 0.5))
-        f = sum((F.lit(w) * count(c, t) for c, w in weights.items() if w), F.lit(0.0))
-        score = score + F.lit(idf if idf > 0 else LEAST_IDF) * f * (k1 + 1) / (f + k1 * (1 - b + b * total / F.lit(mean)))
-    hit = in_any[0] > 0
-    for x in in_any[1:]:
-        hit = hit | (x > 0)
-    return held.where(hit).withColumn("score", score).drop("__t")
-
-
-def search(rows: DataFrame, query: str, limit: int = 10, kinds: tuple[str, ...] = (), project_words: frozenset[str] = frozenset()) -> DataFrame:
-    """id, score of the best nodes: BM25 over max(5 limit, 100) candidates and exact names, re-ranked by kind, path and name.
-
-    Without a hit the query is looked for inside names.  The limit is the feature: a top-k search.
+
+def search_many(
+    rows: DataFrame, queries: list[str], limit: int = 10, kinds: tuple[str, ...] = (), project_words: frozenset[str] = frozenset(), index: Index | None = None
+) -> DataFrame:
+    """query and the columns of rows with their final ``score``: the best nodes of every query.
+
+    BM25 over max(5 limit, 100) candidates of the kinds and up to 20 exact names for each word (with the best score so
+    far), re-ranked by kind, path and name.  A query of two letters or more without a hit is looked for inside names.
+    The limit is the feature: a top-k search.
     """
+    queries = list(dict.fromkeys(q for q in queries if q.strip()))
     chosen = rows.where(F.col("kind").isin(*kinds)) if kinds else rows
-    best = bm25(rows, query)
-    best = (best.where(F.col("kind").isin(*kinds)) if kinds else best).orderBy(F.desc("score"), "id").limit(max(5 * limit, 100))
-    if not best.limit(1).count():
-        best = like(chosen, query).orderBy(F.desc("score"), F.length("name"), "id").limit(max(5 * limit, 100))
-    top = best.agg(F.max("score")).first()[0] or 0.0
-    words = [w.lower() for w in query.split() if len(w) >= 2]
-    exact = chosen.where(F.lower("name").isin(*words)) if words else chosen.limit(0)
-    order = Window.partitionBy(F.lower("name")).orderBy("file_path", "start_line", "id")
-    exact = exact.withColumn("k", F.row_number().over(order)).where("k <= 20").drop("k").join(best.select("id"), "id", "left_anti").withColumn("score", F.lit(top))
-    bonus = names.kind_bonus(F.col("kind")) + names.path_relevance(F.col("file_path"), query, project_words) + names.name_bonus(F.col("name"), query)
-    every = best.unionByName(exact).withColumn("score", F.round(F.col("score") + bonus, 6))
-    return every.orderBy(F.desc("score"), "id").limit(limit)
+    if not queries:
+        return chosen.limit(0).withColumn("query", F.lit("")).withColumn("score", F.lit(0.0))
+    cap = max(5 * limit, 100)
+    top = lambda df, *order: df.withColumn("__k", F.row_number().over(Window.partitionBy("query").orderBy(*order))).where(F.col("__k") <= cap).drop("__k")
+    every = fulltext.rank(index or fulltext.build(rows), queries)
+    best = cut_lineage(top(chosen.join(every, "id"), F.desc("score"), "id"))
+    met = {r["query"] for r in best.select("query").distinct().collect()}  # some of the queries
+    if missed := [q for q in queries if q not in met and len(q) >= 2]:
+        low = {q: like(chosen, q).withColumn("query", F.lit(q)) for q in missed}
+        best = best.unionByName(top(reduce(DataFrame.unionByName, low.values()), F.desc("score"), F.length("name"), "id"))
+    words = [(q, w.lower()) for q in queries for w in q.split() if len(w) >= 2]
+    of = F.broadcast(rows.sparkSession.createDataFrame(words, "query string, low string"))  # the words of the queries
+    named = chosen.where(F.lower("name").isin(*{w for _, w in words})).withColumn("low", F.lower("name")).join(of, "low")
+    order = Window.partitionBy("query", "low").orderBy("file_path", "start_line", "id")
+    named = named.withColumn("__k", F.row_number().over(order)).where("__k <= 20").drop("__k", "low").dropDuplicates(["query", "id"])
+    most = best.groupBy("query").agg(F.max("score").alias("score"))
+    exact = named.join(best.select("query", "id"), ["query", "id"], "left_anti").join(most, "query", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    bonus = F.lit(0)
+    for q in queries:
+        bonus = F.when(F.col("query") == q, names.path_relevance(F.col("file_path"), q, project_words) + names.name_bonus(F.col("name"), q)).otherwise(bonus)
+    ranked = best.unionByName(exact).withColumn("score", F.round(F.col("score") + names.kind_bonus(F.col("kind")) + bonus, 6))
+    final = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return ranked.withColumn("__k", F.row_number().over(final)).where(F.col("__k") <= limit).drop("__k")
+
+
+def search(rows: DataFrame, query: str, limit: int = 10, kinds: tuple[str, ...] = (), project_words: frozenset[str] = frozenset(), index: Index | None = None) -> DataFrame:
+    """The best nodes of one query, as in ``search_many``."""
+    return search_many(rows, [query], limit, kinds, project_words, index).drop("query").orderBy(F.desc("score"), "id")
 
 
 def like(rows: DataFrame, query: str) -> DataFrame:

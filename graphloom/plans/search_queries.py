@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
-from graphloom.operators import ranking, search
+from graphloom.operators import fulltext, ranking, search
 from graphloom.plans.base import NOW, Registry, Tables
 from graphloom.streaming import incremental
 
@@ -16,7 +16,7 @@ _COLUMNS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0, "s
 
 
 def _tokens(column: str) -> str:
-    return f"list_filter(regexp_split_to_array(translate(lower(coalesce({column}, '')), '{search.ACCENTED}', '{search.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+    return f"list_filter(regexp_split_to_array(translate(regexp_replace(lower(coalesce({column}, '')), '\\p{{Mn}}+', '', 'g'), '{fulltext.accents()[0]}', '{fulltext.accents()[1]}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
 
 def _bm25_sql(table: str, columns: dict[str, float], key: str, terms: list[str]) -> str:
@@ -41,7 +41,7 @@ def fts_bm25(t: Tables) -> DataFrame:
 
 @R.query(f"WITH {_bm25_sql('documents', {'text': 1.0}, 'doc_id', ['cursor', 'drain'])} SELECT doc_id, round(score, 6) AS score FROM scored")
 def fts_documents(t: Tables) -> DataFrame:
-    return search.bm25(t.documents.select("doc_id", "text"), "cursor drain", {"text": 1.0}).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(t.documents.select("doc_id", "text"), "cursor drain", {"text": 1.0}, key="doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
 @R.query(f"WITH {NOW}, w AS (SELECT id, unnest({_tokens('name')}) AS term FROM now) SELECT term, count(*) AS tf, count(DISTINCT id) AS df FROM w GROUP BY term")
@@ -50,7 +50,25 @@ def term_frequencies(t: Tables) -> DataFrame:
     return p.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
-@R.query()
+_TEST_SQL = " OR ".join(f"regexp_matches(path, '{x}')" for x in (names.TEST_NAME, names.TEST_CAMEL, names.TEST_DIR, names.TEST_CAMEL_DIR, names.SIDE_DIR))
+
+
+def _path_sql(word: str) -> str:
+    return f"""CASE WHEN contains(lower(regexp_extract(path, '[^/]*$')), '{word}') THEN 10 ELSE 0 END
++ CASE WHEN contains(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '{word}') THEN 5 WHEN contains(lower(path), '{word}') THEN 3 ELSE 0 END"""
+
+
+@R.query(
+    f"""WITH {NOW}, {_bm25_sql('now', _COLUMNS, 'id', QUERY.split())},
+best AS (SELECT n.id, n.name, n.kind, n.file_path AS path, s.score FROM scored s JOIN now n ON n.id = s.id ORDER BY s.score DESC, n.id LIMIT 125),
+named AS (SELECT id, name, kind, file_path AS path, row_number() OVER (PARTITION BY lower(name) ORDER BY file_path, start_line, id) AS k FROM now WHERE lower(name) IN ('rank', 'ledger', 'cache')),
+every AS (SELECT * FROM best UNION ALL SELECT id, name, kind, path, (SELECT coalesce(max(score), 0) FROM best) FROM named WHERE k <= 20 AND id NOT IN (SELECT id FROM best)),
+final AS (SELECT *, lower(name) AS low, {" + ".join(_path_sql(w) for w in QUERY.split())} - CASE WHEN {_TEST_SQL} THEN 15 ELSE 0 END AS points,
+  CASE kind {" ".join(f"WHEN '{k}' THEN {v}" for k, v in names.KIND_BONUS.items())} ELSE 0 END AS kb FROM every)
+SELECT id, name, kind, path AS file_path, round(score + kb + points + CASE WHEN low = 'rankledgercache' THEN 80 WHEN low IN ('rank', 'ledger', 'cache') THEN 60
+  WHEN starts_with(low, 'rankledgercache') THEN CAST(round(10 + 30.0 * 15 / length(low)) AS INT) WHEN contains(low, 'rank') AND contains(low, 'ledger') AND contains(low, 'cache') THEN 15
+  WHEN contains(low, 'rankledgercache') THEN 10 ELSE 0 END, 6) AS score FROM final ORDER BY score DESC, id LIMIT 25"""
+)
 def fts_multi_signal(t: Tables) -> DataFrame:
     return search.search(t.now, QUERY, 25).select("id", "name", "kind", "file_path", "score")
 
@@ -70,11 +88,6 @@ def name_match_bonus(t: Tables) -> DataFrame:
     return t.now.where("name is not null").select("id", names.name_bonus(F.col("name"), "rank ledger").alias("bonus"), names.kind_bonus(F.col("kind")).alias("kind_bonus"))
 
 
-def _path_sql(word: str) -> str:
-    return f"""CASE WHEN contains(lower(regexp_extract(path, '[^/]*$')), '{word}') THEN 10 ELSE 0 END
-+ CASE WHEN contains(lower(regexp_extract(path, '^(.*)/[^/]*$', 1)), '{word}') THEN 5 WHEN contains(lower(path), '{word}') THEN 3 ELSE 0 END"""
-
-
 @R.query(
     f"""SELECT DISTINCT path, {_path_sql("ledger")} + {_path_sql("cache")}
 - CASE WHEN regexp_matches(path, '{names.TEST_NAME}') OR regexp_matches(path, '{names.TEST_CAMEL}') OR regexp_matches(path, '{names.TEST_DIR}') OR regexp_matches(path, '{names.TEST_CAMEL_DIR}') OR regexp_matches(path, '{names.SIDE_DIR}') THEN 15 ELSE 0 END AS points
