@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
+from graphloom.session import cut_lineage
 
 # Packages of Go's standard library and Go's built-ins, which are no nodes of a repository.
 GO_PACKAGES = (
@@ -93,6 +94,85 @@ def by_import(refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
     return _found(whole, 0.95, "import", 1).unionByName(found)
 
 
+def _ancestors(folder: Column) -> Column:
+    """A folder and all folders above it, the empty one last."""
+    parts = F.filter(F.split(folder, "/"), lambda x: x != "")
+    return F.transform(F.sequence(F.size(parts), F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+def _joined(*parts: Column) -> Column:
+    return F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "/")
+
+
+# What a Rust path can lead to, and files that are their folder's module.
+RUST_TARGETS = ("function", "struct", "enum", "trait", "type_alias", "constant", "method", "class", "interface")
+RUST_ROOTS, RUST_OWN = ("lib.rs", "main.rs"), ("mod.rs", "lib.rs", "main.rs")
+
+
+def by_rust_path(refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """Rust's use paths: crate, self, super or bare names lead from a folder over module files to one that has the last name.
+
+    The crate begins at the nearest folder above with lib.rs or main.rs.  A bare path is tried below the file's own module
+    and then below the crate.  Every module on the way must be an indexed file; what stands in the same file is none.
+    """
+    n = _nodes(nodes)
+    paths = files.select("path").where("path is not null").distinct()
+    r = _refs(refs).where((F.col("reference_kind") == "imports") & (F.col("ref_language") == "rust") & F.col("reference_name").contains("::"))
+    r = r.withColumn("parts", F.filter(F.split("reference_name", "::"), lambda x: x != "")).where(F.size("parts") >= 2)
+    folder, base = names.directory(F.col("ref_file")), names.base_name(F.col("ref_file"))
+    r = r.select("ref_id", "ref_file", F.element_at("parts", -1).alias("leaf"), F.slice("parts", F.lit(1), F.size("parts") - 1).alias("modules"), folder.alias("folder"))
+    own = F.when(base.isin(*RUST_OWN), F.col("folder")).otherwise(_joined(F.col("folder"), F.regexp_replace(base, r"\.rs$", "")))
+    roots = paths.where(names.base_name(F.col("path")).isin(*RUST_ROOTS)).select(names.directory(F.col("path")).alias("above")).distinct()
+    crates = r.select("folder").distinct().select("folder", F.posexplode(_ancestors(F.col("folder"))).alias("up", "above")).join(roots, "above").groupBy("folder").agg(F.min_by("above", "up").alias("crate"))
+    first = F.element_at("modules", 1)
+    supers = F.size("modules") - F.size(F.filter("modules", lambda x: x != "super"))
+    begins = (
+        F.when(first == "crate", F.array("crate"))
+        .when(first == "self", F.array("own"))
+        .when(first == "super", F.array(F.element_at(F.concat(_ancestors(F.col("own")), F.array_repeat(F.lit(""), supers)), supers + 1)))
+        .otherwise(F.array("own", "crate"))
+    )
+    told = r.withColumn("own", own).join(crates, "folder", "left").select("ref_id", "ref_file", "leaf", F.filter("modules", lambda x: ~x.isin("self", "crate", "super")).alias("modules"), F.posexplode(begins).alias("choice", "begin"))
+    told = told.where("begin is not null and size(modules) > 0")
+    steps = told.select("*", F.posexplode("modules").alias("i", "module")).withColumn("here", _joined(F.col("begin"), F.array_join(F.slice("modules", F.lit(1), F.col("i")), "/"), F.col("module")))
+    tried = steps.select("*", F.posexplode(F.array(F.concat("here", F.lit(".rs")), F.concat("here", F.lit("/mod.rs")))).alias("form", "found")).join(paths, F.col("found") == F.col("path"))
+    met = tried.groupBy("ref_id", "ref_file", "leaf", "choice", F.size("modules").alias("n")).agg(F.countDistinct("i").alias("met"), F.min_by("found", F.struct(-F.col("i"), "form")).alias("file"))
+    whole = met.where("met = n").groupBy("ref_id", "ref_file", "leaf").agg(F.min_by("file", "choice").alias("file")).where("file <> ref_file")
+    hits = whole.join(n.where(F.col("kind").isin(*RUST_TARGETS)), (F.col("file") == F.col("file_path")) & (F.col("leaf") == F.col("name")))
+    return _found(_first(hits), 0.95, "import", 2)
+
+
+def go_imports(contents: DataFrame) -> DataFrame:
+    """file, local_name, source of the imports of Go files, single ones and blocks; without an alias the name is the last part of the path."""
+    text = contents.where(F.col("path").endswith(".go") & F.col("content").isNotNull()).select(F.col("path").alias("file"), "content")
+    single = F.regexp_extract_all("content", F.lit(r"import\s+((?:\w+\s+)?[\"'][^\"']+[\"'])"), F.lit(1))
+    inside = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(r"(?s)import\s*\(\s*([^)]+)\s*\)"), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit(r"((?:\w+\s+)?[\"'][^\"']+[\"'])"), F.lit(1))))
+    one = text.select("file", F.explode(F.concat(single, inside)).alias("spec")).withColumn("source", F.regexp_extract("spec", r"[\"']([^\"']+)[\"']", 1))
+    alias = F.regexp_extract("spec", r"^(\w+)\s", 1)
+    return one.select("file", F.when(alias != "", alias).otherwise(F.regexp_extract("source", "[^/]*$", 0)).alias("local_name"), "source").distinct()
+
+
+def go_modules(contents: DataFrame) -> DataFrame:
+    """root (a folder) and module of each go.mod among the texts."""
+    mods = contents.where((names.base_name(F.col("path")) == "go.mod") & F.col("content").isNotNull())
+    plain = F.regexp_replace("content", "//[^\\n]*", "")
+    module = F.regexp_replace(F.regexp_extract(plain, r"(?m)^\s*module\s+(\S+)\s*$", 1), "^[\"'`]+|[\"'`]+$", "")
+    return mods.select(names.directory(F.col("path")).alias("root"), module.alias("module")).where("module <> ''")
+
+
+def by_go_package(refs: DataFrame, nodes: DataFrame, imports: DataFrame, modules: DataFrame) -> DataFrame:
+    """Go's package.Name: the exported Name in the folder that the imported path means below the module of the nearest go.mod."""
+    r = _refs(refs).where((F.col("ref_language") == "go") & F.col("reference_name").rlike(r"^[^.]+\..+"))
+    r = r.withColumn("package", F.regexp_extract("reference_name", r"^([^.]+)\.", 1)).withColumn("member", F.regexp_extract("reference_name", r"^[^.]+\.(.+)$", 1))
+    met = r.join(imports.withColumnRenamed("file", "ref_file"), "ref_file").where("local_name = package")
+    near = met.select("ref_id", "member", "source", F.posexplode(_ancestors(names.directory(F.col("ref_file")))).alias("up", "root")).join(modules, "root")
+    near = near.groupBy("ref_id", "member", "source").agg(F.min_by(F.struct("root", "module"), "up").alias("m"))
+    below = near.where((F.col("source") == F.col("m.module")) | F.expr("startswith(source, concat(m.module, '/'))"))
+    place = below.withColumn("folder", _joined(F.col("m.root"), F.expr("substring(source, length(m.module) + 2)")))
+    n = _nodes(nodes).where("language = 'go' and is_exported").withColumn("folder", names.directory(F.col("file_path")))
+    return _found(_first(place.join(n, (F.col("member") == F.col("name")) & (place["folder"] == n["folder"])).drop("folder")), 0.95, "import", 4)
+
+
 def by_function(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Functions used as values: the first one in the file, or the only one of the family."""
     r, n = _refs(refs).where("reference_kind = 'function_ref'"), _nodes(nodes).where(F.col("kind").isin("function", "method"))
@@ -123,7 +203,7 @@ def _methods_of(rows: DataFrame, n: DataFrame, owner: str, method: str, language
 
 
 def by_call_chain(refs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Go's F().M and A.f().M: what the first function returns owns the method."""
+    """Go's F().M and A.f().M: what the first function returns owns the method; where that isn't known, F().M is any M."""
     n = _nodes(nodes)
     parts = _refs(refs).where("ref_language = 'go'").withColumn("inner", F.regexp_extract("reference_name", r"^(.+?)\(\)\.([A-Za-z_]\w*)$", 1)).withColumn(
         "method", F.regexp_extract("reference_name", r"^(.+?)\(\)\.([A-Za-z_]\w*)$", 2)
@@ -136,7 +216,10 @@ def by_call_chain(refs: DataFrame, nodes: DataFrame) -> DataFrame:
         F.when(F.col("owner") == "", F.col("f_kind") == "function").otherwise((F.col("f_q") == F.concat_ws("::", "owner", "factory")) | F.expr("endswith(f_q, concat('::', owner, '::', factory))"))
     )
     typed = made.groupBy("ref_id", "method", "ref_language").agg(F.min_by("return_type", "f_ord").alias("returned"))
-    return _found(_first(_methods_of(typed, n, "returned", "method", "ref_language")), 0.85, "instance-method", 9)
+    found = _found(_first(_methods_of(typed, n, "returned", "method", "ref_language")), 0.85, "instance-method", 9)
+    unknown = parts.where("owner = ''").select("ref_id", "method").join(found.select("ref_id"), "ref_id", "left_anti")
+    bare = by_exact_name(refs.join(unknown, "ref_id").withColumn("reference_name", F.col("method")).drop("method"), nodes)
+    return found.unionByName(bare.withColumn("rule", F.lit(9)))
 
 
 def by_receiver(refs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,24 +277,40 @@ def is_external() -> Column:
     return (F.col("language") == "go") & (F.col("reference_name").isin(*GO_BUILTINS) | F.col("reference_name").contains(".") & F.regexp_extract("reference_name", r"^([^.]*)\.", 1).isin(*GO_PACKAGES))
 
 
-def resolve(refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+def possible(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """References of which some part is the name of a node; no rule resolves the others. Saves the later joins their rows."""
+    name = F.col("reference_name")
+    head, last = F.regexp_extract(name, r"^([^.]*)", 1), F.regexp_extract(name, r"[^.]*$", 0)
+    parts = F.array(name, head, F.concat(F.upper(F.substring(head, 1, 1)), F.expr("substring(regexp_extract(reference_name, '^([^.]*)', 1), 2)")), last, F.regexp_extract(name, r"^(.*?)::", 1), F.regexp_extract(name, r"[^:]*$", 0), F.regexp_extract(name, r"[^/]*$", 0), F.regexp_extract(name, r"[^:.]*$", 0))
+    known = nodes.where("name is not null").select(F.col("name").alias("part")).distinct()
+    met = refs.select("ref_id", F.explode(F.array_distinct(parts)).alias("part")).where("part <> ''").join(known, "part", "left_semi").select("ref_id").distinct()
+    return refs.join(met, "ref_id", "left_semi")
+
+
+def resolve(refs: DataFrame, nodes: DataFrame, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """ref_id, target_id, confidence, resolved_by of every reference that some rule resolves; the first rule in order wins.
 
-    Imports with a module and functions used as values have one rule each.  Null names resolve to nothing.
+    Imports with a module, Rust's use paths and functions used as values have one rule each.  With the texts, Go's
+    packages are followed through imports and go.mod.  Null names resolve to nothing.
     """
-    modular = (F.col("reference_kind") == "imports") & F.col("candidates").isNotNull()
-    value = F.col("reference_kind") == "function_ref"
-    rest = refs.where(~F.coalesce(modular, F.lit(False)) & ~F.coalesce(value, F.lit(False)) & ~F.coalesce(is_external(), F.lit(False)))
-    found = [by_import(refs.where(modular), nodes, files), by_function(refs, nodes), *(rule(rest, nodes) for rule in (by_qualified_name, by_call_chain, by_receiver, by_exact_name))]
+    imports = F.coalesce(F.col("reference_kind") == "imports", F.lit(False))
+    modular = imports & F.col("candidates").isNotNull()
+    rust = imports & F.col("candidates").isNull() & F.coalesce((F.col("language") == "rust") & F.col("reference_name").contains("::"), F.lit(False))
+    value = F.coalesce(F.col("reference_kind") == "function_ref", F.lit(False))
+    nodes = cut_lineage(_nodes(nodes))
+    rest = cut_lineage(possible(refs.where(~modular & ~rust & ~value & ~F.coalesce(is_external(), F.lit(False))), nodes))
+    found = [by_import(refs.where(modular), nodes, files), by_rust_path(refs.where(rust), nodes, files), by_function(refs, nodes), *(rule(rest, nodes) for rule in (by_qualified_name, by_call_chain, by_receiver, by_exact_name))]
+    if contents is not None:
+        found.append(by_go_package(rest, nodes, go_imports(contents), go_modules(contents)))
     every = reduce(DataFrame.unionByName, found)
     best = every.groupBy("ref_id").agg(F.min_by(F.struct("target_id", "confidence", "resolved_by"), F.struct("rule", "target_id")).alias("b"))
     return best.select("ref_id", "b.target_id", "b.confidence", "b.resolved_by")
 
 
-def resolved_edges(refs: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+def resolved_edges(refs: DataFrame, nodes: DataFrame, files: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Edges of the resolved references; extending an interface is implementing, calling a class is instantiating."""
     kinds = nodes.select("id", "kind")
-    r = resolve(refs, nodes, files).join(refs, "ref_id")
+    r = resolve(refs, nodes, files, contents).join(refs, "ref_id")
     r = r.join(kinds.select(F.col("id").alias("target_id"), F.col("kind").alias("t_kind")), "target_id").join(kinds.select(F.col("id").alias("from_node_id"), F.col("kind").alias("s_kind")), "from_node_id", "left")
     kind = (
         F.when(F.col("reference_kind") == "function_ref", "references")

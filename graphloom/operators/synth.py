@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import names
+from graphloom.session import cut_lineage
 
 CAP = 40  # implementers of an interface, and bridges of a class and its base: a feature of the passes
 # Types that can own a method, and languages with virtual methods.
@@ -55,3 +56,24 @@ def override_bridges(nodes: DataFrame, edges: DataFrame, cap: int = CAP) -> Data
     pairs = up.join(mine, "cls").join(theirs, ["base", "via"]).where("impl <> base_method")
     order = Window.partitionBy("cls", "base").orderBy("file_path", "start_line", "impl", "base_method")
     return pairs.withColumn("k", F.row_number().over(order)).where(F.col("k") <= cap).select(F.col("base_method").alias("source"), F.col("impl").alias("target"), "via").distinct()
+
+
+def synthesize(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """source, target, kind, via, synthesized_by: the three passes, each over the edges of those before it.
+
+    Go's containment across files first, since it completes the methods of its structs; then implemented interfaces;
+    then bridges from a base's methods to those of the types that extend or implement it.
+    """
+    have = edges.select("source", "target", "kind")
+    go = nodes.where("language = 'go'")
+    contains = cut_lineage(contains_across_files(nodes, have).select("source", "target", "kind"))
+    have = have.unionByName(contains)
+    implements = cut_lineage(implements_by_methods(go, have))
+    have = have.unionByName(implements.select("source", "target", F.lit("implements").alias("kind")))
+    bridges = override_bridges(nodes, have)
+    none = F.lit(None).cast("string")
+    return (
+        contains.select("source", "target", "kind", none.alias("via"), none.alias("synthesized_by"))
+        .unionByName(implements.select("source", "target", F.lit("implements").alias("kind"), "via", F.lit("go-implements").alias("synthesized_by")))
+        .unionByName(bridges.select("source", "target", F.lit("calls").alias("kind"), "via", F.lit("interface-impl").alias("synthesized_by")))
+    )

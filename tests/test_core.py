@@ -172,3 +172,37 @@ def test_every_query_runs(spark, sf):
     assert Tables(spark, sf).now.count() > 0
     for name in ("stats", "callers_d2", "resolve_all", "p3_found", "p5_found"):
         assert registry.queries()[name](spark, sf).count() >= 0
+
+
+def _refs_and_nodes(spark, refs, nodes):
+    r = spark.createDataFrame([(i, None, n, k, 1, None, f, lang) for i, (n, k, f, lang) in enumerate(refs)], "ref_id bigint, from_node_id string, reference_name string, reference_kind string, line int, candidates array<string>, file_path string, language string")
+    n = spark.createDataFrame([(f"{name}@{path}", kind, name, q, path, lang, 1, exported, returns) for kind, name, q, path, lang, exported, returns in nodes], "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, is_exported boolean, return_type string")
+    return r, n
+
+
+def test_rust_paths_and_go_packages(spark):
+    from graphloom.operators import resolve
+
+    refs = [
+        ("crate::types::Node", "imports", "c/src/db.rs", "rust"), ("self::inner::run", "imports", "c/src/db.rs", "rust"), ("super::types::Node", "imports", "c/src/db/inner.rs", "rust"), ("types::Node", "imports", "c/src/lib.rs", "rust"),
+        ("serde::Serialize", "imports", "c/src/lib.rs", "rust"), ("crate::Node", "imports", "c/src/db.rs", "rust"), ("super::super::types::Node", "imports", "c/src/db/inner.rs", "rust"), ("util.Run", "calls", "g/cmd/main.go", "go"), ("u.Run", "calls", "g/cmd/main.go", "go"), ("make().Walk", "calls", "g/cmd/main.go", "go"),
+        ("types.Node", "calls", "g/cmd/main.go", "go"), (None, "calls", None, None),
+    ]
+    nodes = [("struct", "Node", "Node", "c/src/types.rs", "rust", True, None), ("function", "run", "run", "c/src/db/inner.rs", "rust", True, None), ("function", "Run", "Run", "g/pkg/util/a.go", "go", True, None), ("function", "Run", "Run", "g/other/a.go", "go", True, None), ("method", "Walk", "T::Walk", "g/pkg/util/a.go", "go", True, None)]
+    r, n = _refs_and_nodes(spark, refs, nodes)
+    paths = ["c/src/lib.rs", "c/src/types.rs", "c/src/db.rs", "c/src/db/inner.rs", "g/cmd/main.go"]
+    texts = spark.createDataFrame([("g/go.mod", "// x\nmodule example.com/m // y\n"), ("g/cmd/main.go", 'package main\n\nimport (\n\t"fmt"\n\tu "example.com/m/pkg/util"\n)\nimport "example.com/m/pkg/util"\n'), (None, "x"), ("n.go", None)], "path string, content string")
+    got = {x.ref_id: (x.target_id, x.confidence, x.resolved_by) for x in resolve.resolve(r, n, spark.createDataFrame([(p,) for p in paths], "path string"), texts).collect()}
+    node = ("Node@c/src/types.rs", 0.95, "import")
+    assert got[0] == node and got[1] == ("run@c/src/db/inner.rs", 0.95, "import") and got[3] == node and got[6] == node and not {2, 4, 5, 11} & set(got)
+    assert got[7] == got[8] == ("Run@g/pkg/util/a.go", 0.95, "import") and got[9] == ("Walk@g/pkg/util/a.go", 0.9, "exact-match")
+
+
+def test_synthesis_in_order(spark):
+    from graphloom.operators import synth
+
+    rows = [("s", "struct", "S", "S", "g/a.go"), ("m", "method", "Run", "S::Run", "g/b.go"), ("i", "interface", "Runner", "Runner", "g/i.go"), ("im", "method", "Run", "Runner::Run", "g/i.go")]
+    n = spark.createDataFrame([(*r, "go", 1) for r in rows], "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int")
+    e = spark.createDataFrame([("i", "im", "contains")], "source string, target string, kind string")
+    got = {(r.source, r.target, r.kind, r.synthesized_by) for r in synth.synthesize(n, e).collect()}
+    assert got == {("s", "m", "contains", None), ("s", "i", "implements", "go-implements"), ("im", "m", "calls", "interface-impl")}
