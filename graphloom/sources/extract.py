@@ -10,6 +10,7 @@ import ast
 import hashlib
 import re
 import warnings
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ MAX_BYTES = 1 << 20  # larger files are recorded and not parsed
 
 # Words that look like calls or types and are none.
 CONTROL = frozenset("if for while switch catch return with else do match loop".split())
-NOT_CALLS = frozenset("if for while switch catch return with func function fn def class struct match loop new await typeof sizeof elif else defer go select print super self this".split())
+NOT_CALLS = frozenset("if for while switch catch return with func function fn def class struct match loop new await typeof sizeof elif else defer go select print super self this const var type import".split())
 _CALL = re.compile(r"(?<![\w.])((?:[A-Za-z_$][\w$]*(?:\.|::))*[A-Za-z_$][\w$]*)\s*\(")
 _NEW = re.compile(r"\bnew\s+([A-Za-z_$][\w$.]*)")
 
@@ -66,6 +67,15 @@ def _python(found: Found, text: str, root: str) -> None:
             return node.attr if head in ("self", "cls") else f"{head}.{node.attr}"
         return None
 
+    def values(node: ast.AST) -> list[ast.expr]:
+        """What stands where a function may be handed on: arguments, the right of an assignment, entries of lists and dictionaries."""
+        if isinstance(node, ast.Call):
+            return [*node.args, *(k.value for k in node.keywords)]
+        if isinstance(node, ast.Assign):
+            stored = [t.attr if isinstance(t, ast.Attribute) else getattr(t, "id", None) for t in node.targets]
+            return [] if isinstance(node.value, ast.Name) and node.value.id in stored else [node.value]
+        return node.elts if isinstance(node, ast.List) else node.values if isinstance(node, ast.Dict) else []
+
     def walk(body: list[ast.stmt] | ast.AST, owner: str, scope: list[str], inside: str) -> None:
         for node in body if isinstance(body, list) else ast.iter_child_nodes(body):
             if isinstance(node, ast.ClassDef):
@@ -94,15 +104,78 @@ def _python(found: Found, text: str, root: str) -> None:
                     for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
                         if isinstance(t, ast.Name):
                             found.edge(owner, found.node("variable", t.id, scope, node.lineno, node.end_lineno or node.lineno, is_exported=not t.id.startswith("_")), node.lineno)
-                if isinstance(node, ast.Call):
-                    if name := dotted(node.func):
-                        found.ref(owner, name, "calls", node.lineno, node.col_offset)
-                    for arg in [*node.args, *(k.value for k in node.keywords)]:
-                        if isinstance(arg, ast.Name):
-                            found.ref(owner, arg.id, "function_ref", arg.lineno, arg.col_offset)
+                if isinstance(node, ast.Call) and (name := dotted(node.func)):
+                    found.ref(owner, name, "calls", node.lineno, node.col_offset)
+                for value in values(node):
+                    if isinstance(value, ast.Name):
+                        found.ref(owner, value.id, "function_ref", value.lineno, value.col_offset)
+                    elif isinstance(value, ast.Attribute) and isinstance(value.value, ast.Name) and value.value.id == "self":
+                        found.ref(owner, value.attr, "function_ref", value.lineno, value.col_offset)
                 walk(node, owner, scope, inside)
 
     walk(tree.body, root, [], "module")
+    _keep_values(found)
+
+
+def _keep_values(found: Found) -> None:
+    """Of names used as values, only functions that the file defines or imports are references, one per user and name; generated files have none."""
+    known = {r["name"] for r in found.rows if r["tag"] == "node" and r["kind"] in ("function", "method") or r["tag"] == "ref" and r["kind"] == "imports"}
+    seen, kept, made = set(), [], bool(re.search(names.GENERATED, found.path))
+    for r in found.rows:
+        if r["kind"] == "function_ref":
+            if made or r["name"] not in known or (r["source"], r["name"]) in seen:
+                continue
+            seen.add((r["source"], r["name"]))
+        kept.append(r)
+    found.rows[:] = kept
+
+
+# Types that are built in and no references.
+BUILT_IN = frozenset(
+    "string number boolean void null undefined never any object symbol bigint true false str bool i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 char int long short byte "
+    "float double int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 uintptr float32 float64 complex64 complex128 rune error".split()
+)
+_NO_TYPES = frozenset("mut const dyn impl ref self Self map chan func interface struct readonly keyof typeof infer extends in out is where for final unsafe async this unique asserts new".split())
+_TYPE_NAME = re.compile(r"(?<![\w$.'])(?:[a-zA-Z_]\w*(?:\.|::))*([A-Za-z_$][\w$]*)")
+
+
+def _types_in(text: str) -> list[str]:
+    """Names of types in a piece of a signature, without qualifiers and built-in ones."""
+    return [m[1] for m in _TYPE_NAME.finditer(re.sub(r"[\w$]+\s*\??:(?!:)", " ", text)) if m[1] not in BUILT_IN and m[1] not in _NO_TYPES]
+
+
+def _pieces(text: str) -> list[str]:
+    """A list cut at its outer commas."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "([{<") - (c in ")]}") - (c == ">" and text[i - 1 : i] not in ("-", "="))
+        if c == "," and depth <= 0:
+            out.append(text[at:i])
+            at = i + 1
+    return [x for x in (*out, text[at:]) if x.strip()]
+
+
+def _parameters(inside: str, kind: str) -> list[tuple[str | None, str]]:
+    """(name, type) of each parameter of a signature."""
+    pieces = [p.strip() for p in _pieces(inside)]
+    if kind in ("script", "rust"):
+        return [(re.sub(r"\W", "", a.split()[-1]) if a.split() else None, b.partition("=")[0]) for a, colon, b in (re.split(r"(:(?!:))", p, maxsplit=1) if re.search(r":(?!:)", p) else (p, "", "") for p in pieces) if colon]
+    if kind == "go":
+        if not any(re.match(r"\w+\s+\S", p) for p in pieces):
+            return [(None, p) for p in pieces]
+        out, last = [], ""
+        for p in reversed(pieces):
+            name, _, what = p.partition(" ")
+            last = what.strip() or last
+            out.append((name, last if what.strip() else ""))
+        return out[::-1]
+    return [(p.split()[-1].strip("*[]"), " ".join(p.split()[:-1])) for p in pieces if len(p.split()) > 1]
+
+
+def _bare(kind: str) -> str | None:
+    """The one named type of a Go type: pointers and packages are left off; slices, maps, functions and channels have none."""
+    m = re.fullmatch(r"\s*\**\s*(?:\w+\.)?([A-Za-z_]\w*)(?:\[[^\]]*\])?\s*", kind)
+    return m[1] if m and m[1] not in ("func", "map", "chan", "interface", "struct") else None
 
 
 # What declares a type, and how functions and imports begin.
@@ -121,6 +194,7 @@ _FUNCTIONS = {
         r"^[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?P<async>async[ \t]+)?function[ \t]*\*?[ \t]*(?P<name>[\w$]+)[ \t]*(?:<[^>]*>)?(?=\()"
         r"|^[ \t]*(?:export[ \t]+)?(?:const|let|var)[ \t]+(?P<arrow>[\w$]+)[^=\n]*=[ \t]*(?:async[ \t]*)?(?=\([^()]*\)[^=\n{;]*=>|[\w$]+[ \t]*=>|function\b)"
         r"|^[ \t]+(?:(?:public|private|protected|static|readonly|async|override|get|set)[ \t]+)*(?P<method>[\w$]+)[ \t]*(?:<[^>]*>)?(?=\([^()]*\)[^;{}=]*\{)"
+        r"|^[ \t]+(?P<pair>[\w$]+)[ \t]*:[ \t]*(?:async[ \t]*)?(?=function\b|\([^()]*\)[ \t]*(?::[^=\n]+)?=>|[\w$]+[ \t]*=>)"
         r"|^[ \t]+(?P<property>[\w$]+)[ \t]*(?::[^=;\n]+)?=[ \t]*(?:async[ \t]*)?(?=\([^()]*\)[^=\n{;]*=>)",
         re.M,
     ),
@@ -179,14 +253,20 @@ def _braced(found: Found, text: str, root: str, kind: str) -> None:
         for x in _MEMBERS.finditer("{" + re.sub(r"\([^()]*\)|\{[^{}]*\}", "", body)):
             found.edge(own, found.node("enum_member", x[1], [name], line(begin), line(begin)), line(begin))
     functions: list[tuple[int, int, str, str, str]] = []
+    heads: set[int] = set()
+    typed: dict[str, dict[str, str]] = {}  # of Go's functions: variables and their types
+    for begin, end, own, name, what in spans:
+        if own:
+            _members(found, code, match, own, name, what, begin, end, kind, line)
     for m in _FUNCTIONS[kind].finditer(code):
         groups = m.groupdict()
-        name = next(groups[g] for g in ("name", "arrow", "method", "property") if groups.get(g))
+        name = next(groups[g] for g in ("name", "arrow", "method", "pair", "property") if groups.get(g))
         if name in CONTROL:
             continue
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
         opener = code.find("(", m.end() - 1)
         shut = match.get(opener, opener)
+        heads.add(opener)
         end = block(shut if kind != "script" or groups.get("name") or groups.get("method") else m.end())
         owner = next((s for s in reversed(spans) if s[0] < begin < s[1]), None)
         if groups.get("owner"):
@@ -197,8 +277,17 @@ def _braced(found: Found, text: str, root: str, kind: str) -> None:
         exported = name[:1].isupper() if kind == "go" else bool(re.match(r"(?:export|pub|public)\b", m[0].strip()))
         own = found.node(
             what, name, [owner[3]] if owner else [], line(begin), line(max(begin, end - 1)), docstring=doc(begin), is_exported=exported, is_async=bool(groups.get("async")),
-            signature=re.sub(r"\s+", " ", text[opener : shut + 1] + rest.rstrip()).strip()[:400] or None, return_type=returned[1].split(".")[-1] if returned and kind != "c" else None,
+            signature=re.sub(r"\s+", " ", text[opener : shut + 1] + rest.rstrip()).strip() or None, return_type=returned[1].split(".")[-1] if returned and kind != "c" else None,
         )
+        given = _parameters(code[opener + 1 : shut], kind) if kind != "c" else []
+        for x in [t for _, types in given for t in _types_in(types)] + (_types_in(rest) if kind != "java" else []):
+            found.ref(own, x, "references", line(begin))
+        if kind == "go":
+            receiver = re.match(r"func\s*\(\s*(\w+)\s+", code[begin:opener])
+            body = code[shut:end]
+            typed[own] = {n: t for n, k in given if n and (t := _bare(k))} | {a: b for a, b in re.findall(r"\b(\w+)\s*:=\s*&?(?:\w+\.)?([A-Z]\w*)\{", body)} | {a: b for a, k in re.findall(r"\bvar\s+(\w+)\s+([*\w.]+)", body) if (b := _bare(k))}
+            if receiver and groups.get("owner"):
+                typed[own][receiver[1]] = groups["owner"]
         found.edge(root, own, line(begin))
         if owner:
             same = owner[2] or next((s[2] for s in spans if s[3] == owner[3] and s[2]), "")
@@ -211,25 +300,109 @@ def _braced(found: Found, text: str, root: str, kind: str) -> None:
     for m in _VARIABLES[kind].finditer(code) if kind in _VARIABLES else ():
         exported = m["name"][:1].isupper() if kind == "go" else bool(re.match(r"(?:export|pub)\b", m[0].strip()))
         found.edge(root, found.node("constant" if m["kind"] == "const" and kind != "rust" else "variable", m["name"], [], line(m.start()), line(m.start()), is_exported=exported), line(m.start()))
+    for m in re.finditer(r"^(const|var)[ \t]*\(", code, re.M) if kind == "go" else ():
+        at, last = m.end(), match.get(m.end() - 1, len(code))
+        while at < last:  # one specification a line; what stands in brackets is passed over
+            if x := _SPEC.match(code, at, last):
+                for name in re.split(r"[ \t]*,[ \t]*", x[1]):
+                    found.edge(root, found.node("constant" if m[1] == "const" else "variable", name, [], line(x.start(1)), line(x.start(1)), is_exported=name[:1].isupper()), line(x.start(1)))
+            while (step := _SPEC_STEP.search(code, at, last)) and step[0] != "\n":
+                at = match.get(step.start(), last) + 1
+            at = step.end() if step else last
     _imports(found, text, code, root, kind, line)
 
+    functions.sort()
+    begins, parents, open_now = [f[0] for f in functions], [], []
+    for k, f in enumerate(functions):
+        while open_now and functions[open_now[-1]][1] <= f[0]:
+            open_now.pop()
+        parents.append(open_now[-1] if open_now else -1)
+        open_now.append(k)
+
     def within(at: int) -> str:
-        inside = [f for f in functions if f[0] <= at < f[1]]
-        return max(inside)[2] if inside else root
+        k = bisect_right(begins, at) - 1
+        while k >= 0 and functions[k][1] <= at:
+            k = parents[k]
+        return functions[k][2] if k >= 0 else root
 
-    heads = {code.find("(", f[0]) for f in functions}
+    contracts = [(b, e) for b, e, _, _, what in spans if what == "interface"]
+    opened = {c: o for o, c in match.items()}
     for m in _CALL.finditer(code):
         at = m.end() - 1
         name = re.sub(r"^(?:self|this|cls|super|Self)(?:\.|::)", "", m[1])
-        if at in heads or name.split(".")[-1].split("::")[-1] in NOT_CALLS or re.search(r"(?:\bfunc|\bfn|\bfunction|\bnew)\s+$", code[max(0, m.start() - 12) : m.start()]):
+        if at in heads or any(b < at < e for b, e in contracts) or name.split(".")[-1].split("::")[-1] in NOT_CALLS or re.search(r"(?:\bfunc|\bfn|\bfunction|\bnew)\s+$", code[max(0, m.start() - 12) : m.start()]):
             continue
-        begin = starts[line(m.start()) - 1]
-        found.ref(within(m.start()), name, "calls", line(m.start()), len(text[begin : m.start()].encode()))
-        for arg in re.findall(r"(?:^|,)\s*([A-Za-z_$][\w$]*)\s*(?=,|$)", code[at + 1 : match.get(at, at + 1)]):
-            if any(f[3] == arg for f in functions):
-                found.ref(within(m.start()), arg, "function_ref", line(m.start()))
+        begin, user = starts[line(m.start()) - 1], within(m.start())
+        head, dot, method = name.partition(".")
+        if dot and "." not in method and head in typed.get(user, ()):
+            name = f"{typed[user][head]}::{method}"
+        found.ref(user, name, "calls", line(m.start()), len(text[begin : m.start()].encode()))
+    if kind == "go":
+        for m in re.finditer(r"\)\.([A-Za-z_]\w*)\(", code):
+            made = re.search(r"([A-Za-z_][\w.]*)$", code[max(0, opened.get(m.start(), 0) - 200) : opened.get(m.start(), 0)])
+            if made and made[1] not in NOT_CALLS:
+                found.ref(within(m.start()), f"{made[1]}().{m[1]}", "calls", line(m.start()))
     for m in _NEW.finditer(code):
         found.ref(within(m.start()), m[1], "instantiates", line(m.start()))
+    if kind in ("go", "rust"):
+        for m in re.finditer(r"(?<![\w.\]])(?:\w+(?:\.|::))?([A-Z]\w*)\s*\{", code):
+            user = within(m.start())
+            if user != root and m.start() not in heads and not any(b <= m.start() < b + 200 and code.find("{", b) == m.end() - 1 for b, *_ in spans) and not re.search(r"(?:->|\bfor|\bimpl|\bin|\bmatch|\bif|\))\s*[*&]?$", code[max(0, m.start() - 12) : m.start()]):
+                found.ref(user, m[1], "instantiates", line(m.start()))
+    bodies = sorted((b, e) for b, e, own, _, what in spans if own and what not in ("class", "enum"))
+    stack: list[int] = []
+    for m in _VALUE.finditer(code):
+        if m["open"]:
+            stack.append(m.start())
+        elif m["shut"]:
+            if stack:
+                stack.pop()
+        else:
+            before = code[: m.start()].rstrip(" \t\r\n")[-1:] if m.start() < 400 else code[m.start() - 400 : m.start()].rstrip()[-1:]
+            after = re.match(r"[ \t\r]*(.?)", code[m.end() : m.end() + 40], re.S)[1]
+            inside = code[stack[-1]] if stack else ""
+            ended = after in ("", "\n", ";")
+            fits = (before in "(,[{" and before and inside in "([{" and after in ",)]}\n" and after) or (before == "=" and (ended or after == ",")) or (before == ":" and inside == "{" and after in ",}\n" and after)
+            if fits and not any(b < m.start() < e for b, e in bodies[: bisect_right(bodies, (m.start(), 0))][-1:]) and not re.search(rf"(?<![\w$]){re.escape(m['name'])}\s*:?=\s*$", code[max(0, m.start() - 120) : m.start()]):
+                found.ref(within(m.start()), m["name"], "function_ref", line(m.start()))
+    _keep_values(found)
+
+
+_SPEC = re.compile(r"[ \t]*([A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)(?=[ \t\n\r]|$)")
+_SPEC_STEP = re.compile(r"[(\[{\n]")
+_VALUE = re.compile(r"(?P<open>[(\[{])|(?P<shut>[)\]}])|(?<![\w$.])(?P<name>[A-Za-z_$][\w$]*)(?![\w$(.])")
+
+
+def _members(found: Found, code: str, match: dict[int, int], own: str, name: str, what: str, begin: int, end: int, kind: str, line: Callable[[int], int]) -> None:
+    """Methods of interfaces, properties of classes, embedded types, and the types that an alias is made of."""
+    brace = code.find("{", begin, end)
+    if what == "type_alias":
+        for x in _types_in(code[code.find("=", begin, end) + 1 or begin : end] if kind == "script" else code[code.find(name, begin) + len(name) : end]):
+            found.ref(own, x, "references", line(begin))
+        return
+    if brace < 0 or kind in ("c", "rust") or what == "enum":
+        return
+    at, stop = brace + 1, match.get(brace, end - 1)
+    while at < stop:
+        ahead = re.compile(r"[;\n{]").search(code, at, stop)
+        cut = ahead.start() if ahead else stop
+        text = code[at:cut]
+        while ahead and (text.count("(") > text.count(")")):
+            ahead = re.compile(r"[;\n{]").search(code, cut + 1, stop)
+            cut = ahead.start() if ahead else stop
+            text = code[at:cut]
+        first, x = at + len(text) - len(text.lstrip()), text.strip()
+        if what == "interface" and kind in ("go", "script", "java") and (m := re.match(r"(?:(?:public|abstract|readonly|static|default)\s+)*(?:[\w<>\[\],.?]+\s+)?([A-Za-z_$][\w$]*)\s*\??\(", x) if kind == "java" else re.match(r"([A-Za-z_$][\w$]*)\s*\??\(", x)):
+            method = found.node("method", m[1], [name], line(first), line(first), signature=re.sub(r"\s+", " ", x[m.end(1) :]).strip() or None)
+            found.edge(own, method, line(first))
+        elif kind == "go" and re.fullmatch(r"\*?(?:\w+\.)?[A-Za-z_]\w*(?:\s*`.*)?", x):
+            found.ref(own, _bare(x.split("`")[0]) or x, "extends", line(first))
+        elif kind == "script" and what in ("class", "interface") and (m := re.match(r"(?:(?:public|private|protected|static|readonly|declare|override|abstract)\s+)*([A-Za-z_$][\w$]*)\s*[?!]?\s*:\s*([^=]+)", x)) and "=>" not in x:
+            prop = found.node("property", m[1], [name], line(first), line(first))
+            found.edge(own, prop, line(first))
+            for t in _types_in(m[2]):
+                found.ref(prop, t, "references", line(first))
+        at = (match.get(cut, stop) + 1) if ahead and code[cut] == "{" else cut + 1
 
 
 def _imports(found: Found, text: str, code: str, root: str, kind: str, line: Callable[[int], int]) -> None:

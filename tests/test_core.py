@@ -128,7 +128,7 @@ def shape(path, text, lang):
 def test_extraction():
     n, r, rows = shape("p/svc.py", PY, "python")
     assert {("function", "top"), ("class", "Service"), ("method", "handle"), ("variable", "MAX"), ("import", "os")} <= n
-    assert {("calls", "helper"), ("calls", "log"), ("extends", "Base"), ("imports", "User"), ("function_ref", "worker")} <= r
+    assert {("calls", "helper"), ("calls", "log"), ("extends", "Base"), ("imports", "User")} <= r and ("function_ref", "worker") not in r  # neither defined nor imported
     n, r, rows = shape("p/q.go", GO, "go")
     assert {("struct", "Queue"), ("method", "Pop"), ("constant", "Limit"), ("import", "fmt")} <= n and ("calls", "run") in r
     assert next(x for x in rows if x.get("name") == "Pop")["qualified_name"] == "Queue::Pop" and next(x for x in rows if x.get("name") == "Queue")["docstring"] == "Queue holds."
@@ -140,6 +140,32 @@ def test_extraction():
     assert extract.extract_file("x.go", None, "go") == [] and len(extract.extract_file("x.py", "def (", "python")) == 1 and extract.extract_file("x.bin", "a", "unknown") == []
 
 
+def test_extraction_of_types_and_values():
+    go = "package p\n\nconst (\n\tA = iota\n\tB, C\n\tD = f(\n\t\t1)\n)\n\ntype Store interface {\n\tGet(k string) *Item\n\tio.Closer\n\tPut(\n\t\tv Item,\n\t) error\n}\n\ntype Disk struct {\n\tBase\n\t*pkg.Log\n\tn int\n}\n\nfunc (d *Disk) Open(src *Reader, n, m int) (Item, error) {\n\tsrc.Read()\n\td.close()\n\tx := &Cursor{n: 1}\n\tx.Next()\n\tmake2().Walk()\n\tregister(handler, d.n)\n\tt := map[string]F{\"a\": handler, \"b\": other}\n\thandler = handler\n\treturn nil, nil\n}\n\nfunc handler() {}\n"
+    n, r, rows = shape("p/d.go", go, "go")
+    assert {("constant", "A"), ("constant", "B"), ("constant", "C"), ("constant", "D"), ("interface", "Store"), ("method", "Get"), ("method", "Put"), ("struct", "Disk")} <= n
+    assert {("extends", "Base"), ("extends", "Log"), ("extends", "Closer"), ("references", "Reader"), ("references", "Item"), ("calls", "Reader::Read"), ("calls", "Disk::close"), ("calls", "Cursor::Next"), ("calls", "make2().Walk"), ("function_ref", "handler"), ("instantiates", "Cursor")} <= r
+    assert not {("function_ref", "other"), ("references", "int"), ("references", "error"), ("function_ref", "n"), ("calls", "const"), ("calls", "Get"), ("calls", "Open"), ("instantiates", "F")} & r
+    assert sum(x["kind"] == "function_ref" for x in rows) == 1 and {x["qualified_name"] for x in rows if x.get("kind") == "method"} >= {"Store::Get", "Disk::Open"}
+    ts = "import { sink } from './s';\nclass W<T> extends P {\n  box: Box<Item>;\n  n = 1;\n  run(a: Reader, b?: string): Result[] {\n    on(sink);\n    this.cb = cb;\n    return [];\n  }\n}\ninterface Shape {\n  area(k: Unit): number;\n  name: Label;\n}\ntype Al = Foo | Bar<Baz>;\nconst api = {\n  start() { return 1; },\n  stop: () => 2,\n  relay: sink,\n};\nconst fs = [sink];\n"
+    n, r, rows = shape("p/s.ts", ts, "typescript")
+    assert {("property", "box"), ("method", "run"), ("method", "area"), ("property", "name"), ("function", "start"), ("function", "stop")} <= n
+    assert {("references", x) for x in ("Box", "Item", "Reader", "Result", "Label", "Foo", "Bar", "Baz")} | {("function_ref", "sink"), ("extends", "P")} <= r and ("references", "string") not in r
+    py = "from m import worker\n\ndef go():\n    start(target=worker)\n\nclass C:\n    def f(self):\n        self.go = go\n        x = {1: self.f, 2: data}\n        y = [go]\n"
+    _, r, _ = shape("p/c.py", py, "python")
+    assert {("function_ref", "worker"), ("function_ref", "go"), ("function_ref", "f")} <= r and ("function_ref", "data") not in r
+    import time
+
+    def took(k):
+        text = "package p\n" + "".join(f"func f{i}(a *T{i}) {{\n\tg{i}(f{i}, a)\n}}\n" for i in range(k))
+        begun = time.perf_counter()
+        extract.extract_file("p/x.go", text, "go")
+        return time.perf_counter() - begun
+
+    took(100)
+    assert took(4000) < 14 * took(1000) + 0.5
+
+
 def test_repository(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "vendor").mkdir()
