@@ -18,6 +18,7 @@ from graphloom.context.store import Store
 from graphloom.functions import names
 from graphloom.functions.query_text import search_terms, stems
 from graphloom.operators import search
+from graphloom.operators.graph import CALL_KINDS
 
 # Kinds of nodes that answer questions, that define something, that text search looks at, that have a hierarchy.
 ANSWERS = "function method class interface type_alias struct trait component route variable constant enum module namespace".split()
@@ -238,6 +239,31 @@ def traverse(store: Store, start: str, depth: int = 1, limit: int = 1000, direct
     return list(met), tree
 
 
+def hops(store: Store, start: str, depth: int, direction: str = "in", limit: int = 1000) -> list[dict]:
+    """Callers ('in') or callees ('out') depth first, as edges with ``other`` and ``depth``.
+
+    A node is left once it was gone into; at the last level it comes once for each edge.  The edges of each level are
+    read at once, at most ``limit`` for each node; that many rows are returned at most.
+    """
+    near: dict[str, list[dict]] = {}
+    level = [start]
+    for _ in range(depth):
+        near |= store.adjacent(level, limit, CALL_KINDS, direction)
+        level = list(dict.fromkeys(e["other"] for at in level for e in near.get(at, ()) if e["other"] not in near))
+    out, gone = [], {start}
+    ways = [iter(sorted(near.get(start, ()), key=lambda e: e["edge_id"]))]
+    while ways and len(out) < limit:
+        e = next(ways[-1], None)
+        if e is None:
+            ways.pop()
+        elif e["other"] not in gone:
+            out.append(e | {"depth": len(ways) - 1})
+            if len(ways) < depth:
+                gone.add(e["other"])
+                ways.append(iter(sorted(near.get(e["other"], ()), key=lambda x: x["edge_id"])))
+    return out
+
+
 def type_family(store: Store, start: str, most: int) -> tuple[list[str], list[dict]]:
     """Types above a type and below it, and the edges that led to each; at most ``most`` in either direction."""
     met, tree = {start: None}, []

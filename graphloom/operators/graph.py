@@ -62,7 +62,7 @@ def reach(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, dire
     return seen
 
 
-def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, kinds: Sequence[str] = (), limit: int = 64) -> list[str] | None:
+def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, kinds: Sequence[str] = ()) -> list[str] | None:
     """Ids from start to end along outgoing edges, or None; of equal ways the one over the least (kind, edge_id) back from the end."""
     known = nodes.select("id").distinct()
     if known.where(F.col("id").isin(start, end)).count() < len({start, end}):
@@ -73,7 +73,7 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, kind
     chosen = of_kinds(edges, kinds).join(known, F.col("target") == F.col("id"), "left_semi").select("edge_id", "source", "target", "kind")
     seen = level = spark.createDataFrame([(start,)], "node_id string")
     parents: DataFrame | None = None
-    for _ in range(limit):
+    while True:
         found = chosen.join(level, F.col("source") == F.col("node_id")).drop("node_id").join(seen, F.col("target") == F.col("node_id"), "left_anti")
         best = cut_lineage(found.groupBy("target").agg(F.min(F.struct("kind", "edge_id", "source")).alias("p")).select(F.col("target").alias("node_id"), F.col("p.source").alias("parent")))
         if not best.limit(1).count():
@@ -84,21 +84,19 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, end: str, kind
             while way[-1] != start:
                 way.append(parents.where(F.col("node_id") == way[-1]).first()["parent"])
             return way[::-1]
-        seen, level = cut_lineage(seen.unionByName(best.select("node_id"))), best.select("node_id")
-    return None
-
-
-def closure(links: DataFrame, limit: int = 200) -> DataFrame:
-    """start, reached: the pairs that links (a, b) connect in one step or more; cycles end when nothing is new."""
-    links = cut_lineage(links.select("a", "b").where("a is not null and b is not null").distinct())
-    seen = level = links.select(F.col("a").alias("start"), F.col("b").alias("reached"))
-    for _ in range(limit):
-        level = level.join(links, F.col("reached") == F.col("a")).select("start", F.col("b").alias("reached")).distinct()
-        level = cut_lineage(level.join(seen, ["start", "reached"], "left_anti"))
-        if not level.limit(1).count():
-            break
-        seen = cut_lineage(seen.unionByName(level))
-    return seen
+        seen, level = seen.unionByName(best.select("node_id")), best.select("node_id")  # each level is a table already
+
+
+def closure(links: DataFrame) -> DataFrame:
+    """start, reached: the pairs that links (a, b) connect in one step or more, by doubling; cycles end when nothing is new."""
+    seen = cut_lineage(links.select(F.col("a").alias("start"), F.col("b").alias("reached")).where("start is not null and reached is not null").distinct())
+    fresh = seen
+    while True:
+        further = fresh.select("start", F.col("reached").alias("mid")).join(seen.select(F.col("start").alias("mid"), "reached"), "mid").select("start", "reached").distinct()
+        fresh = cut_lineage(further.join(seen, ["start", "reached"], "left_anti"))
+        if not fresh.limit(1).count():
+            return seen
+        seen = seen.unionByName(fresh)
 
 
 def type_hierarchy(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import fnmatch
+import json
 import os
 import re
 
@@ -14,28 +14,81 @@ from graphloom.sources.extract import MAX_BYTES
 
 # Directories that hold no sources of their own, at any depth.
 SKIPPED = frozenset(
-    ".git .hg .svn node_modules bower_components vendor target dist build out coverage __pycache__ .venv venv env .tox .mypy_cache .pytest_cache .ruff_cache "
-    ".idea .vscode .gradle .next .nuxt .cache .terraform .yarn .pnpm-store Pods Carthage DerivedData".split()
+    "node_modules bower_components jspm_packages web_modules .yarn .pnpm-store .next .nuxt .svelte-kit .turbo .vite .parcel-cache .angular .docusaurus storybook-static .vinxi .nitro out-tsc "
+    ".vercel .netlify .wrangler dist build out .output coverage .nyc_output __pycache__ __pypackages__ .venv venv .pixi .pdm-build .mypy_cache .pytest_cache .ruff_cache .tox .nox .hypothesis "
+    ".ipynb_checkpoints .eggs target .gradle obj vendor .build Pods Carthage DerivedData .swiftpm .dart_tool .pub-cache .cxx .externalNativeBuild vcpkg_installed .bloop .metals lua_modules "
+    ".luarocks __history __recovery .cache .git".split()
 )
 
 
+def ignore_pattern(rule: str, folder: str = "") -> tuple[bool, str] | None:
+    """(whether the rule takes back, regular expression of the paths it covers) for a line of a .gitignore in a folder; None for blanks and comments.
+
+    * and ? stay within a name, ** crosses folders; a rule with a slash inside counts from its folder, others at any depth.
+    """
+    text = re.sub(r"(?<!\\)\s+$", "", rule)
+    if not text or text.startswith("#"):
+        return None
+    back = text.startswith("!")
+    text = text.removeprefix("!").removeprefix("\\")
+    only_folders, body = text.endswith("/"), text.strip("/")
+    anchored = "/" in text.rstrip("/")
+    out = ""
+    for part in re.findall(r"/\*\*/|^\*\*/|/\*\*$|\*+|\?|\[!?\]?[^\]]*\]|\\.|.", body):
+        if part in ("**/", "/**/"):
+            out += "/(?:.*/)?" if part[0] == "/" else "(?:.*/)?"
+        elif part == "/**":
+            out += "/.+"
+        elif part[0] == "*":
+            out += "[^/]*"
+        elif part == "?":
+            out += "[^/]"
+        elif part[0] == "[" and len(part) > 2:
+            out += "[" + part[1:-1].replace("\\", "\\\\").replace("!", "^", 1 if part[1] == "!" else 0) + "]"
+        else:
+            out += re.escape(part[-1])
+    base = re.escape(folder.strip("/")) + "/" if folder.strip("/") else ""
+    return back, f"^{base}{'' if anchored else '(?:.*/)?'}{out}{'/.*' if only_folders else '(?:/.*)?'}$"
+
+
 def ignored(path: str, rules: list[str]) -> bool:
-    """Whether rules in the style of .gitignore exclude a relative path; later rules win, ! takes back."""
+    """Whether rules of a .gitignore at the root exclude a relative path; later rules win, ! takes back."""
     out = False
-    for rule in rules:
-        rule = rule.strip()
-        if not rule or rule.startswith("#"):
-            continue
-        back, rule = rule.startswith("!"), rule.removeprefix("!")
-        anchored, body = "/" in rule.rstrip("/"), rule.strip("/")
-        parts = path.split("/")
-        ends = range(1, len(parts) if rule.endswith("/") else len(parts) + 1)
-        tried = ("/".join(parts[:i]) for i in ends) if anchored else (parts[i - 1] for i in ends)
-        if any(fnmatch.fnmatchcase(t, body) for t in tried):
+    for back, pattern in filter(None, map(ignore_pattern, rules)):
+        if re.match(pattern, path):
             out = not back
     return out
 
 
+def ignore_rules(root: str) -> list[tuple[bool, str]]:
+    """The rules of .git/info/exclude and of every .gitignore below a local root, outer ones first."""
+    found = []
+    exclude = os.path.join(root, ".git", "info", "exclude")
+    if os.path.isfile(exclude):
+        found.append(("", exclude))
+    for folder, inner, names_here in os.walk(root):
+        inner[:] = sorted(d for d in inner if d not in SKIPPED)
+        if ".gitignore" in names_here:
+            found.append((os.path.relpath(folder, root).replace(os.sep, "/").removeprefix("."), os.path.join(folder, ".gitignore")))
+    out = []
+    for folder, file in found:
+        with open(file, encoding="utf-8", errors="replace") as f:
+            out += [p for p in (ignore_pattern(x.rstrip("\n\r"), folder) for x in f) if p]
+    return out
+
+
+def project_words(root: str) -> frozenset[str]:
+    """What the project itself is called, by go.mod, package.json and its folder: normalised, five letters or more. Such words say nothing in a query."""
+    told = [os.path.basename(os.path.realpath(root))]
+    for file, read in (("go.mod", lambda t: (re.search(r"(?m)^\s*module\s+(\S+)", t) or ["", ""])[1]), ("package.json", lambda t: json.loads(t).get("name") or "")):
+        try:
+            with open(os.path.join(root, file), encoding="utf-8") as f:
+                told.append(str(read(f.read())).rpartition("/")[2])
+        except (OSError, ValueError, AttributeError):
+            continue
+    return frozenset(w for w in (re.sub(r"[^a-z0-9]", "", t.lower()) for t in told) if len(w) >= 5)
+
+
 def inside(root: str, path: str) -> str | None:
     """The real path, if it lies within root."""
     base, real = os.path.realpath(root), os.path.realpath(os.path.join(root, path))
@@ -45,7 +98,7 @@ def inside(root: str, path: str) -> str | None:
 def read_repository(spark: SparkSession, root: str, rules: list[str] | None = None) -> DataFrame:
     """path, content, content_hash, size, modified_at, language of the source files below root.
 
-    Skipped directories, ignored files, unknown extensions, files over MAX_BYTES and bytes that aren't UTF-8 are left out.
+    Skipped directories, files ignored by .gitignore files, .git/info/exclude (both of local roots) and ``rules``, unknown extensions, files over MAX_BYTES and bytes that aren't UTF-8 are left out.
     """
     base = f"file:{os.path.realpath(root)}" if "://" not in root else root
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
@@ -54,9 +107,11 @@ def read_repository(spark: SparkSession, root: str, rules: list[str] | None = No
     parts = F.split("path", "/")
     rows = files.where(F.col("length") <= MAX_BYTES).select(path.alias("path"), "content", F.col("length").alias("size"), F.unix_millis("modificationTime").alias("modified_at"))
     rows = rows.where(F.size(F.array_intersect(parts, F.array(*map(F.lit, sorted(SKIPPED))))) == 0).withColumn("language", names.language(F.col("path"))).where("language <> 'unknown'")
-    if rules:
-        keep = F.udf(lambda p: not ignored(p, rules), "boolean")
-        rows = rows.where(keep("path"))
+    told = ignore_rules(root) if "://" not in root else []
+    skip = F.lit(False)
+    for back, pattern in [*told, *filter(None, map(ignore_pattern, rules or []))]:  # the last rule that covers a path decides
+        skip = F.when(F.col("path").rlike(pattern), F.lit(not back)).otherwise(skip)
+    rows = rows.where(~skip)
     rows = rows.where(F.is_valid_utf8(F.col("content").cast("string")))
     return rows.select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"), "size", "modified_at", "language")
 

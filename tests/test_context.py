@@ -97,3 +97,16 @@ def test_definitions_take_the_place_of_imports(store):
     ids, tree = retrieve.traverse(store, "f1", depth=2)
     assert ids == ["f1", "f2", "t1"] and len(tree) == 2 and retrieve.traverse(store, "nobody") == ([], [])
     assert set(retrieve.type_family(store, "t2", 5)[0]) == {"t2", "t1", "t3"}
+
+
+def test_callers_depth_first(spark):
+    """Parallel edges come once each at the last level, and are left out above it once their end was gone into."""
+    edges = [("a", "b", "calls"), ("a", "b", "calls"), ("b", "c", "calls"), ("b", "c", "references"), ("c", "a", "calls"), ("a", "c", "calls"), ("a", "d", "contains")]
+    nodes = spark.createDataFrame([(i, "function", i, i, "r/a.go", "go", 1, 2, None, None, None) for i in "abcd"], "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, signature string, docstring string, name_split string")
+    frame = spark.createDataFrame([(k, *e) for k, e in enumerate(edges)], "edge_id bigint, source string, target string, kind string")
+    s = Store(nodes, frame, nodes.select("file_path"), nodes.limit(0).select("id"))
+    assert [(e["other"], e["depth"], e["edge_id"]) for e in retrieve.hops(s, "a", 2, "out")] == [("b", 0, 0), ("c", 1, 2), ("c", 1, 3), ("c", 0, 5)]
+    assert [(e["other"], e["depth"]) for e in retrieve.hops(s, "a", 1, "out")] == [("b", 0), ("b", 0), ("c", 0)]
+    assert [e["other"] for e in retrieve.hops(s, "a", 1, "in")] == ["c"] and retrieve.hops(s, "nobody", 2) == []
+    pairs = graph.closure(frame.where("kind = 'calls'").select(graph.F.col("source").alias("a"), graph.F.col("target").alias("b")))
+    assert {tuple(r) for r in pairs.collect()} == {(x, y) for x in "abc" for y in "abc"}
