@@ -2,15 +2,14 @@
 
 Each file is lexed for its own language, delimiters go through a pushdown stack,
 and what stands outside brackets must be able to begin a declaration of that
-language.  Python files that pass are also given to the interpreter's parser,
-which knows indentation.
+language.  Python's layout has a stack of its own: of indentations, with what
+each line may open, and operands must have operators between them.
 """
 
 from __future__ import annotations
 
-import ast
+import keyword
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,9 +85,7 @@ def first_error(text: str | None, language: str | None) -> tuple[str, int] | Non
     if not found:
         found = _outside(code, kind, language.lower(), {e - 1 for b, e in masked.strings if "\n" in text[b:e]})
     if not found and kind == "python":
-        found = _parsed(text)
-        if found:
-            return found[0][0], found[0][1]
+        found = _layout(code)
     if not found:
         return None
     what, at = min(found, key=lambda x: x[1])
@@ -153,16 +150,70 @@ def _outside(code: str, kind: str, language: str, ends: set[int]) -> list[tuple[
     return []
 
 
-def _parsed(text: str) -> list[tuple[str, int]]:
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        try:
-            ast.parse(text)
-        except SyntaxError as e:
-            return [("indentation" if isinstance(e, IndentationError) else "grammar", int(e.lineno or 1))]
-        except (ValueError, RecursionError, MemoryError):
-            pass  # beyond the parser's limits; the lexer found nothing wrong
-    return []
+# Words that open a block in Python, and words that stand between operands or before them.
+_BLOCKS = frozenset("def class if elif else for while try except finally with async".split())
+_SOFT = frozenset("match case type".split())
+_BETWEEN = frozenset(keyword.kwlist) - {"True", "False", "None"}
+_PY_TOKEN = re.compile(r"(?P<join>\\\r?\n)|(?P<line>\n)|(?P<text>[A-Za-z]{0,2}\"[^\"]*\")|(?P<number>\.?\d(?:[eE][+-]|[\w.])*)|(?P<word>[^\W\d]\w*)|(?P<open>[(\[{])|(?P<shut>[)\]}])|(?P<op>:=|->|\*\*=?|//=?|<<=?|>>=?|[-+*/%@&|^<>=!]=|\.\.\.|[-+*/%@&|^<>=~.,:;\\])")
+_NUMBER = re.compile(r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.(?:\d[\d_]*)?)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?")
+
+
+def _layout(code: str) -> list[tuple[str, int]]:
+    """The first breach of Python's layout in masked code: indentation, blocks that are missing or not announced, operands without an operator."""
+    indents, waits = [0], 0  # waits: where the line stands that needs a block below it, plus one
+    depth, start, first, before, last, colon, operand = 0, 0, "", "", "", False, ""
+    fresh, kind = True, ""
+    for m in _PY_TOKEN.finditer(code + "\n"):
+        at, token, kind = m.start(), m[0], m.lastgroup
+        if kind == "join":
+            continue
+        if kind == "line":
+            if depth or fresh:
+                start = start if depth else m.end()
+                continue
+            if first in _BLOCKS and not colon:
+                return [("missing colon", at)]
+            if last == ":" and first not in _BLOCKS and first not in _SOFT:
+                return [("misplaced token", at)]
+            if last in _OPERATORS and not (last == "*" and before == "import") or last in ("not", "and", "or", "in", "is", "if", "import", "from", "as", "lambda"):
+                return [("premature end", at)]
+            waits = at + 1 if last == ":" else 0
+            start, fresh, first, last, colon, operand = m.end(), True, "", "", False, ""
+            continue
+        if fresh:
+            line = code[start:at].rpartition("\n")[2]
+            width = len(line.rpartition("\f")[2].expandtabs(8))
+            if waits and width <= indents[-1]:
+                return [("missing block", at)]
+            if waits:
+                indents.append(width)
+            elif width > indents[-1]:
+                return [("indentation", at)]
+            while width < indents[-1]:
+                indents.pop()
+            if width != indents[-1]:
+                return [("indentation", at)]
+            fresh, first, waits = False, token, 0
+            if kind == "op" and token not in ("@", "-", "+", "~", "*", "...") or kind == "shut" or token in ("in", "is", "and", "or", "as"):
+                return [("misplaced token", at)]
+        if kind == "number" and not _NUMBER.fullmatch(token):
+            return [("malformed number", at)]
+        if kind == "open":
+            depth += 1
+        elif kind == "shut":
+            depth = max(0, depth - 1)
+        value = kind in ("number", "text", "shut", "word") and token not in _BETWEEN
+        if value and kind != "shut" and operand and not (kind == "text" and operand == "text") and not (operand == "word" and last == first and last in _SOFT):
+            return [("words without an operator", at)]
+        colon |= token == ":" and not depth
+        operand, before, last = (kind if value else ""), last, token
+        if token == ";" and not depth:
+            operand = ""
+    return [("premature end", waits - 1)] if waits else []
+
+
+# Operators that need something after them.
+_OPERATORS = frozenset("= + - * / % @ & | ^ < > == != <= >= += -= *= /= //= %= @= &= |= ^= <<= >>= **= ** // << >> := -> ~ .".split())
 
 
 def check_files(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -87,6 +87,33 @@ def test_syntax(text, lang, bad):
     assert bool(syntax.first_error(text, lang)) == bad
 
 
+def test_python_layout_against_the_parser():
+    """Lines of a valid program are dropped, doubled, indented and cut; the verdict is that of the interpreter's parser."""
+    import ast
+    import warnings
+
+    base = "import os\nfrom m import *\n\nclass A:\n    x: int = 1\n\n    def f(self, a=(1,\n  2)) -> dict:\n        if a:\n            return {1: [a\n]}\n        else: pass\n        y = 'a' 'b' \\\n            if a else 0x1F\n        match y:\n            case 1: return -1\n            case _:\n                pass\n        for i in a:\n            try:\n                print(i); continue\n            finally:\n                del y\n        with open(a) as g, h: g.b\n        lambda q: q\n"
+    rng = random.Random(3)
+    lines = base.split("\n")
+    texts = [base, "", "x = 1", "\tx = 1\n", "if x:\n# c\n\n  y\n z\n", "def f():\n", "x = 1 2\n", "a b\n", "x = 9z\n", "print 'x'\n", "x = (1\n2)\n", "class A\n  x\n", "foo:\n  x\n", "x = 5 if y else\n", "@a\ndef f(): ...\n"]
+    for _ in range(300):
+        k, new = rng.randrange(len(lines)), [*lines]
+        new[k : k + 1] = rng.choice([[], [new[k], new[k]], ["    " + new[k]], [new[k][2:]], [new[k].rstrip(":")], [new[k] + " word"]])
+        texts.append("\n".join(new[: rng.choice([len(new), len(new), k + 1])]))
+    for t in texts:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                ast.parse(t)
+            bad = False
+        except SyntaxError:
+            bad = True
+        found = syntax.first_error(t, "python")
+        assert bad or not found, (t, found)
+        if bad and not found:
+            assert "else" in t or "try" in t or "finally" in t or "word" in t or "import" in t, t  # order of clauses is beyond a lexer
+
+
 def test_syntax_tables(spark):
     files = spark.createDataFrame([("r/a.go", "go", "x"), ("r/a.go", "go", "y"), ("s/b.py", "python", None), (None, "go", ""), ("r/none.go", "go", "")], "path string, language string, error string")
     texts = spark.createDataFrame([("r/a.go", GO[:-3], 1), ("s/b.py", "x = 1\n", 1), (None, "x", 1), ("lost.go", "x", 1)], "path string, content string, language int")
