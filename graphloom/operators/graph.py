@@ -144,6 +144,8 @@ def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, alpha: float
     alone = nodes.join(degree.select(F.col("source").alias("node_id")), "node_id", "left_anti")
     still = alone.select(F.col("node_id").alias("source"), F.col("node_id").alias("target"), F.lit(1.0).alias("p"))
     moves = cut_lineage(weights.join(degree, "source").select("source", "target", (F.col("w") / F.col("d")).alias("p")).unionByName(still))
+    # Kept by source for all rounds, so that a round shuffles the mass that moves and nothing else.
+    moves = moves.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200), "source").persist()
     started = nodes.join(seeds.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi")
     n = started.count()
     start = cut_lineage((started if n else nodes).withColumn("mass", F.lit(1.0 / (n or max(1, nodes.count())))))
@@ -152,6 +154,7 @@ def random_walk(edges: DataFrame, ids: DataFrame, seeds: DataFrame, alpha: float
     for k in range(rounds):
         moved = mass.join(moves, F.col("node_id") == F.col("source")).select(F.col("target").alias("node_id"), (F.lit(1 - alpha) * F.col("mass") * F.col("p")).alias("mass"))
         mass = moved.unionByName(again).groupBy("node_id").agg(F.sum("mass").alias("mass"))
-        if k % 5 == 4:
+        if k % 5 == 4 or k == rounds - 1:
             mass = cut_lineage(mass)
+    moves.unpersist()
     return nodes.join(mass, "node_id", "left").select("node_id", F.coalesce("mass", F.lit(0.0)).alias("mass"))
