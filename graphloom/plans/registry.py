@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import context_queries, graph_queries, links, resolve_queries, search_queries, source_queries
+from graphloom.plans import context_queries, graph_queries, links, model_queries, resolve_queries, search_queries, source_queries
 
-REGISTRIES = (graph_queries.R, search_queries.R, resolve_queries.R, source_queries.R, context_queries.R)
+REGISTRIES = (graph_queries.R, search_queries.R, resolve_queries.R, source_queries.R, context_queries.R, model_queries.R)
 
 
 def queries() -> dict:
