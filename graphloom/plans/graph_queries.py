@@ -203,7 +203,19 @@ def file_diversity_cap(t: Tables) -> DataFrame:
     return ranking.top_per(rows, ["file_path"], [F.desc("priority"), F.asc_nulls_first("start_line"), F.asc("id")], 5).select("id", "file_path", "rank")
 
 
-@R.query()
+_WALK = ", ".join(
+    f"r{k + 1} AS (SELECT node_id, sum(mass) AS mass FROM (SELECT m.target AS node_id, 0.75 * r.mass * m.p AS mass FROM r{k} r JOIN moves m ON m.source = r.node_id UNION ALL SELECT node_id, 0.25 * mass FROM r0) GROUP BY node_id)" for k in range(25)
+)
+
+
+@R.query(
+    f"""WITH ids AS (SELECT DISTINCT id FROM nodes WHERE id IS NOT NULL), {SEED_SQL.format(end="target")},
+e AS (SELECT source, target FROM edges WHERE kind IN ('calls', 'references', 'imports', 'instantiates', 'extends', 'implements', 'overrides', 'type_of', 'returns') AND source <> target AND source IN (SELECT id FROM ids) AND target IN (SELECT id FROM ids)),
+w AS (SELECT source, target, count(*) AS w FROM (SELECT * FROM e UNION ALL SELECT target, source FROM e) GROUP BY 1, 2), d AS (SELECT source, sum(w) AS d FROM w GROUP BY 1),
+moves AS MATERIALIZED (SELECT w.source, w.target, w.w / d.d AS p FROM w JOIN d ON d.source = w.source UNION ALL SELECT id, id, 1.0 FROM ids WHERE id NOT IN (SELECT source FROM d)),
+r0 AS MATERIALIZED (SELECT id AS node_id, 1.0::DOUBLE / (SELECT count(*) FROM seeds) AS mass FROM seeds), {_WALK}
+SELECT i.id AS node_id, round(coalesce(r.mass, 0), 9) AS mass FROM ids i LEFT JOIN r25 r ON r.node_id = i.id"""
+)
 def rwr_25(t: Tables) -> DataFrame:
     """Random walk over all nodes from the five most called ones."""
     mass = graph.random_walk(t.edges, t.nodes.select("id").distinct(), _seeds(t, "target"))
