@@ -134,6 +134,9 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return ranking.fuse([a, b], "doc_id")
 
 
-@R.query("SELECT DISTINCT f.path, CASE WHEN c.content IS NULL THEN 'removed' WHEN sha256(c.content) <> f.content_hash OR f.content_hash IS NULL THEN 'changed' ELSE 'same' END AS state FROM files f LEFT JOIN file_content c ON c.path = f.path WHERE f.path IS NOT NULL")
+@R.query(
+    """SELECT DISTINCT coalesce(f.path, c.path) AS path, CASE WHEN f.path IS NULL THEN 'new' WHEN c.content IS NULL THEN 'removed' WHEN sha256(c.content) <> f.content_hash OR f.content_hash IS NULL THEN 'changed' ELSE 'same' END AS state
+FROM files f FULL JOIN file_content c ON c.path = f.path WHERE f.path IS NOT NULL OR c.path IS NOT NULL AND c.content IS NOT NULL"""
+)
 def incremental_changed(t: Tables) -> DataFrame:
-    return incremental.states(t.files, t.file_content).where("state <> 'new'")
+    return incremental.states(t.files, t.file_content)

@@ -46,3 +46,11 @@ def test_index_of_a_repository(spark, tmp_path):
     assert {r.name for r in index.table("nodes").where("kind in ('function', 'method')").collect()} == {"Walk", "Open"}
     assert {r.path for r in index.table("files").collect()} == {"util/run.go"} and index.table("postings").where("term = 'walk'").count() == 1
     assert index.table("postings").join(index.table("nodes"), "id", "left_anti").count() == 0 == index.table("lengths").join(index.table("nodes"), "id", "left_anti").count()
+
+    from graphloom.streaming.incremental import follow
+
+    source = str(tmp_path / "arriving")
+    spark.createDataFrame([("util/new.go", "package util\n\nfunc Fresh() { Walk() }\n"), ("util/run.go", GO.replace("Run", "Walk"))], "path string, content string").write.parquet(source)
+    follow(spark, source, index, str(tmp_path / "progress")).awaitTermination(200)
+    assert {r.name for r in index.table("nodes").where("kind in ('function', 'method')").collect()} == {"Walk", "Open", "Fresh"}
+    assert {r.path for r in index.table("files").collect()} == {"util/run.go", "util/new.go"}
