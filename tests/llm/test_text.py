@@ -35,6 +35,43 @@ def test_plan_is_best_fit(sizes):
     assert placed == counts and all(v <= 30 for v in used.values()) and len(used) == opened == best_fit(sizes, 30)
 
 
+def sweeps(sizes, capacity):
+    """Bulk-synchronous best fit item by item: harmonic classes, largest first; gaps in order take the largest open item that fits, all at once; repeated."""
+    bounds = [capacity, *(capacity // k for k in range(2, 9)), *(capacity // 8 >> k for k in range(1, 20)), 0]
+    gaps, opened, rounds = [], 0, 0
+    for high, low in itertools.pairwise(bounds):
+        items = [x for x in sizes if low < x <= high]
+        while items:
+            items.sort()
+            left, stack, i, matched = [], [], 0, False
+            for g in sorted(gaps):
+                while i < len(items) and items[i] <= g:
+                    stack.append(items[i])
+                    i += 1
+                if stack:
+                    g, matched = g - stack.pop(), True
+                left += [g] if g else []
+            gaps, items, rounds = left, stack + items[i:], rounds + 1
+            if not matched:
+                items.sort(reverse=True)
+                while items:
+                    each = capacity // items[0]
+                    opened += 1
+                    gaps += [capacity - sum(items[:each])]
+                    items = items[each:]
+    return opened, rounds
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_against_sweeps(seed):
+    """The plan needs no more containers than the method as named does, which takes many rounds over all items and gaps."""
+    rng = random.Random(seed)
+    sizes = [min(400, max(1, int(rng.lognormvariate(4, 1)))) for _ in range(3000)]
+    _, planned = packing.plan({s: sizes.count(s) for s in set(sizes)}, 400)
+    opened, rounds = sweeps(sizes, 400)
+    assert -(-sum(sizes) // 400) <= planned <= opened and rounds > 20
+
+
 @pytest.mark.parametrize("group", [10, 10**6])
 def test_pack(spark, group):
     rng = random.Random(5)
