@@ -127,7 +127,7 @@ b AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank F
 SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id"""
 )
 def rrf_fusion(t: Tables) -> DataFrame:
-    a = search.bm25(t.documents.select("doc_id", "text"), "cursor", {"text": 1.0}).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(50)
+    a = search.bm25(t.documents.select("doc_id", "text"), "cursor", {"text": 1.0}, key="doc_id").orderBy(F.desc(F.round("score", 9)), "doc_id").limit(50)
     a = a.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")))
     b = t.documents.where("n_chars is not null").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(50)
     b = b.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")))
