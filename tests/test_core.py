@@ -107,6 +107,47 @@ def test_synthesis(spark):
     assert [(r.source, r.target) for r in synth.contains_across_files(nodes, edges).collect()] == [("s", "free")]
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_implements_many_types_with_the_same_methods(spark):
+    """Pairs of types are as many as the result has, not all structs that share a method with all classes (two million here)."""
+    n = spark.range(1000)
+    label = lambda x: F.format_string(x + "%04d", "id")
+    types = [n.select(label(k).alias("id"), F.lit(kind).alias("kind"), label("T").alias("name"), F.lit("a.go").alias("file_path"), F.col("id").cast("int").alias("start_line")) for k, kind in (("s", "struct"), ("c", "class"))]
+    methods = spark.createDataFrame([("r", "method", "Run", "a.go", 1), ("p", "method", "Pop", "a.go", 2)], types[0].schema)
+    edges = types[0].unionByName(types[1]).select(F.col("id").alias("source"), F.explode(F.array(F.lit("r"), F.lit("p"))).alias("target"), F.lit("contains").alias("kind"))
+    nodes, before = types[0].unionByName(types[1]).unionByName(methods), shuffled_rows(spark)
+    got = {tuple(r) for r in synth.implements_by_methods(nodes, edges, "struct", "class").collect()}
+    assert got == {(f"s{i:04d}", f"c{j:04d}", f"T{j:04d}") for i in range(40) for j in range(1000)}
+    assert shuffled_rows(spark) - before < 300_000
+
+
+@pytest.mark.parametrize("base", ["class", "struct"])
+def test_implements_against_brute_force(spark, base):
+    """Places that are null come last, as in SQL; a type is not its own; nothing has a method without a name."""
+    rng = random.Random(3)
+    place = {f"t{i}": (rng.choice(["struct", "class"]), rng.choice(["b", "a", None]), rng.choice([1, 2, None])) for i in range(120)}
+    names = {f"m{i}": x for i, x in enumerate([*"abcdef", "a", "", None])}
+    has = {t: rng.sample(sorted(names), rng.choice([0, 1, 1, 2, 3, 5])) for t in place}
+    nodes = spark.createDataFrame([(t, k, t.upper(), p, line) for t, (k, p, line) in place.items()] + [(m, "method", x, "m", 1) for m, x in names.items()], "id string, kind string, name string, file_path string, start_line int")
+    edges = spark.createDataFrame([(t, m, "contains") for t in has for m in [*has[t], *has[t][:1], "t1", "gone"]] + [("t1", "m1", "calls"), ("gone", "m1", "contains"), (None, "m1", "contains"), ("t1", None, "contains")], "source string, target string, kind string")
+    sets = {t: {names[m] for m in has[t]} for t in place if has[t]}
+    order = sorted((t for t in sets if place[t][0] == "struct"), key=lambda t: (*((x is None, x or type(y)()) for x, y in zip(place[t][1:], ("", 0))), t))
+    for cap in (3, 40):
+        want = set()
+        for b in sets:
+            if place[b][0] == base and None not in sets[b]:
+                want |= {(t, b, b.upper()) for t in [t for t in order if t != b and sets[t] >= sets[b]][:cap]}
+        got = [tuple(r) for r in synth.implements_by_methods(nodes, edges, "struct", base, cap).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
+
+
 def test_windows(spark):
     spans = spark.createDataFrame([("f", 1, 5), ("f", 7, 9), ("f", 20, 22), ("g", 1, 1)], "file_path string, first int, last int")
     assert {(r.file_path, r["first"], r["last"]) for r in ranking.line_clusters(spans, ["file_path"], 3).collect()} == {("f", 1, 9), ("f", 20, 22), ("g", 1, 1)}
