@@ -30,7 +30,6 @@ MASKS = (
     "000011111001", "001001011110", "001100100111", "010100111100", "010111000101", "011000011011", "011011100010", "100001110110",
     "100010001111", "101101010001", "101110101000", "110101001010", "110110000011", "111000101001", "111010010100",
 )
-WHOLE = ("1" * SPAN,)  # enough where no word may be replaced
 FILTER_BITS = 26  # log2 of the bits of a filter of the test seeds (8 MB), whatever their number; what passes by chance is dropped by the join
 
 # A tag on one line, or of attributes on any number of lines; a comment (if any ends); the target of a link.
@@ -39,7 +38,7 @@ _TAG = re.compile(rf"</?[A-Za-z](?:[^<>\n]*+>|[\w:.-]*+(?:{_ATTRIBUTE})*+\s*+/?>
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]{2,8});")
 _WORD = re.compile(r"[^\W_]+")
-SEEDS = "id bigint, seed bigint, at int, words string"
+WINDOWS = "id bigint, at int, words string, seeds array<bigint>"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -67,13 +66,13 @@ def _numbers(words: list[str], known: dict[str, int]) -> list[int]:
     return out
 
 
-def _seeds_of(numbers: np.ndarray, masks: tuple[str, ...]) -> list[np.ndarray]:
+def _seeds_of(numbers: np.ndarray) -> list[np.ndarray]:
     """Per mask the seed at each window; numbers has one value per word."""
     n = len(numbers) - SPAN + 1
     factors = np.random.default_rng(12).integers(1, 2**63, SPAN, dtype=np.uint64) | np.uint64(1)
     parts = [numbers[i : i + n] * factors[i] for i in range(SPAN)]
     out = []
-    for k, mask in enumerate(masks):
+    for k, mask in enumerate(MASKS):
         total = np.full(n, np.uint64(0x9E3779B97F4A7C15 + k), dtype=np.uint64)
         for i in range(SPAN):
             if mask[i] == "1":
@@ -98,16 +97,17 @@ def seed_filter(tests: DataFrame) -> np.ndarray:
 
 
 def _among(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
-    """Which seeds may be in the filter."""
-    u, low = s.view(np.uint64), np.uint64(64 * len(bits) - 1)
-    hit = np.ones(len(s), dtype=bool)
-    for bit in (u & low, (u >> np.uint64(32)) & low):
-        hit &= (bits.view(np.uint64)[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-    return hit
+    """The positions of the seeds that may be in the filter."""
+    low = np.uint64(64 * len(bits) - 1)
+    at = np.arange(len(s))
+    for shift in (np.uint64(0), np.uint64(32)):
+        bit = (s.view(np.uint64)[at] >> shift) & low
+        at = at[(bits.view(np.uint64)[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1]
+    return at
 
 
-def seeds(texts: DataFrame, key: str, only: np.ndarray | None = None, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """id, seed, at, words (the window) for every window and mask; with ``only`` (a filter), just the seeds that pass it."""
+def windows(texts: DataFrame, key: str, only: np.ndarray | None = None) -> DataFrame:
+    """id, at, words, seeds (of all masks) for every window; with ``only`` (a filter), just the seeds that pass it and the windows that have any."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(only) if only is not None else None
 
@@ -126,44 +126,47 @@ def seeds(texts: DataFrame, key: str, only: np.ndarray | None = None, masks: tup
                     continue
                 ends = np.repeat(starts[1:], np.diff(starts))[: len(numbers) - SPAN + 1]
                 whole = np.arange(len(ends)) + SPAN <= ends
-                rows = []
-                for s in _seeds_of(np.array(numbers, dtype=np.uint64), masks):
-                    hit = whole & _among(bits, s) if bits is not None else whole
-                    rows.append((np.flatnonzero(hit), s[hit]))
-                where = np.concatenate([r[0] for r in rows])
-                if not len(where):
+                where, found = [], []
+                for s in _seeds_of(np.array(numbers, dtype=np.uint64)):
+                    at = _among(bits, s) if bits is not None else np.arange(len(s))
+                    at = at[whole[at]]
+                    where.append(at)
+                    found.append(s[at])
+                at = np.concatenate(where)
+                if not len(at):
                     continue
-                doc = np.searchsorted(starts, where, side="right") - 1
-                windows, which = np.unique(where, return_inverse=True)
-                texts_at = np.array([" ".join(all_words[i : i + SPAN]) for i in windows], dtype=object)
+                order = np.argsort(at, kind="stable")
+                at, first = np.unique(at[order], return_index=True)
+                doc = np.searchsorted(starts, at, side="right") - 1
                 yield pd.DataFrame(
                     {
                         "id": ids[doc],
-                        "seed": np.concatenate([r[1] for r in rows]),
-                        "at": (where - np.array(starts)[doc]).astype("int32"),
-                        "words": texts_at[which],
+                        "at": (at - np.array(starts)[doc]).astype("int32"),
+                        "words": [" ".join(all_words[i : i + SPAN]) for i in at],
+                        "seeds": np.split(np.concatenate(found)[order], first[1:]),
                     }
                 )
 
     whole = texts.where(F.col(key).isNotNull() & F.col("text").isNotNull()).select(F.col(key).cast("bigint").alias("id"), "text")
-    return in_batches(spread(whole), run, SEEDS)
+    return in_batches(spread(whole), run, WINDOWS)
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, tolerated: int = TOLERATED) -> DataFrame:
     """doc_id, item_id, doc_at, item_at, equal: all windows of documents and items that differ in ``tolerated`` words (TOLERATED at most) or fewer, and how many agree.
 
     Null texts and ids are no cases; repeated rows count once.  Texts of fewer than SPAN words have no window.
+    Seeds of distinct windows are joined, so a passage costs the same however many texts hold it.
     """
     if not 0 <= tolerated <= TOLERATED:
         raise ValueError(f"tolerated must be from 0 to {TOLERATED}")
-    masks = MASKS if tolerated else WHOLE
-    tests = cut_lineage(seeds(benchmark, "item_id", masks=masks).distinct())
-    corpus = seeds(documents, "doc_id", seed_filter(tests), masks)
-    agree = F.size(F.filter(F.zip_with(F.split("d.words", " "), F.split("t.words", " "), lambda x, y: x == y), lambda e: e))
-    met = corpus.alias("d").join(tests.alias("t"), F.col("d.seed") == F.col("t.seed")).select(
-        F.col("d.id").alias("doc_id"), F.col("t.id").alias("item_id"), F.col("d.at").alias("doc_at"), F.col("t.at").alias("item_at"), agree.alias("equal")
-    )
-    return met.where(F.col("equal") >= SPAN - tolerated).distinct()
+    tests = cut_lineage(windows(benchmark, "item_id"))
+    corpus = cut_lineage(windows(documents, "doc_id", seed_filter(tests.select(F.explode("seeds").alias("seed")))))
+    seen, sought = (w.groupBy("words").agg(F.first("seeds").alias("seeds")).select(F.col("words").alias(name), F.explode("seeds").alias("seed")) for w, name in ((corpus, "doc_words"), (tests, "item_words")))
+    agree = F.size(F.filter(F.zip_with(F.split("doc_words", " "), F.split("item_words", " "), lambda x, y: x == y), lambda e: e))
+    pairs = seen.join(sought, "seed").select("doc_words", "item_words").distinct().withColumn("equal", agree).where(F.col("equal") >= SPAN - tolerated)
+    ours = corpus.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), F.col("words").alias("doc_words"))
+    theirs = tests.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("words").alias("item_words"))
+    return pairs.join(theirs, "item_words").join(ours, "doc_words").select("doc_id", "item_id", "doc_at", "item_at", "equal").distinct()
 
 
 def leaked(found: DataFrame) -> DataFrame:

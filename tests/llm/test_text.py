@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from graphloom.llm import leakage, packing, sameform
+from graphloom.llm import leakage, packing, queries, sameform
 
 
 def best_fit(sizes, capacity):
@@ -144,6 +144,20 @@ def test_masks_cover_every_set_of_replaced_words():
     assert all(any(all(m[i] == "0" for i in lost) for m in leakage.MASKS) for lost in itertools.combinations(range(leakage.SPAN), leakage.TOLERATED))
 
 
+@pytest.mark.parametrize("name", ["p7_found", "p7_overlaps"])
+def test_queries_seed_with_every_mask(spark, monkeypatch, tmp_path, name):
+    """Both queries take the seeds of all masks, of which one covers each set of replaced words, for documents and items; p7_found gives the equal windows among them."""
+    w, used = ITEM.split(), []
+    docs = [(1, "before " + ITEM), (2, " ".join("other" if i % 5 == 0 else x for i, x in enumerate(w)))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(100, ITEM)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    real = leakage.seed_filter
+    monkeypatch.setattr(leakage, "seed_filter", lambda tests: (used.append(tests.distinct().count()), real(tests))[1])
+    got = {(r.doc_id, r.item_id) for r in queries.queries()[name](spark, str(tmp_path)).collect()}
+    assert got == ({(1, 100)} if name == "p7_found" else {(1, 100), (2, 100)})
+    assert used == [len(leakage.MASKS) * (len(leakage.words_of(ITEM)) - leakage.SPAN + 1)]
+
+
 def test_overlaps_against_brute_force(spark):
     w, docs = [x.casefold() for x in ITEM.split()], []
     for stride in (4, 5, 7, 9):
