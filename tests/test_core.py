@@ -3,6 +3,7 @@
 import math
 import random
 import sqlite3
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import names
 from graphloom.functions import query_text as Q
 from graphloom.operators import graph, ranking, resolve, search, synth
+from graphloom.plans import registry
 from graphloom.plans.base import Tables
 from graphloom.sources import extract, repository
 from graphloom.streaming import incremental
@@ -148,6 +150,36 @@ def test_implements_against_brute_force(spark, base):
         assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
 
 
+def test_implements_without_a_cap(spark, tmp_path, monkeypatch):
+    """The query gives every struct of a class, however many there are and however they fall into blocks."""
+    monkeypatch.setattr(synth, "BLOCK", 16, raising=False)
+    has = {f"s{i:02d}": ("struct", ["Run", "Pop"] if i % 3 else ["Run"]) for i in range(90)} | {f"c{i:02d}": ("class", ["Run", "Pop"] if i % 2 else ["Run"]) for i in range(35)}
+    nodes = [node(t, k, t.upper(), line=int(t[1:])) for t, (k, _) in has.items()] + [node(m, "method", m) for m in ("Run", "Pop")]
+    edges = [(t, m, "contains") for t, (_, ms) in has.items() for m in ms]
+    spark.createDataFrame(nodes, NODES).write.parquet(f"{tmp_path}/nodes.parquet")
+    spark.createDataFrame(edges, "source string, target string, kind string").write.parquet(f"{tmp_path}/edges.parquet")
+    got = [tuple(r) for r in registry.queries()["implements_division"](spark, str(tmp_path)).collect()]
+    want = {(s, c, c.upper()) for s, (k, a) in has.items() for c, (b, need) in has.items() if (k, b) == ("struct", "class") and set(need) <= set(a)}
+    assert len(got) == len(want) == 90 * 18 + 60 * 17 and set(got) == want
+
+
+@pytest.mark.parametrize("base", ["class", "struct"])
+def test_implements_without_a_cap_against_brute_force(spark, base, monkeypatch):
+    """A type is not its own; nothing has a method without a name; types with none have no set."""
+    monkeypatch.setattr(synth, "BLOCK", 4, raising=False)
+    rng = random.Random(5)
+    kinds = {f"t{i}": rng.choice(["struct", "struct", "class"]) for i in range(200)}
+    names = {f"m{i}": x for i, x in enumerate([*"abcd", "a", "", None])}
+    has = {t: rng.sample(sorted(names), rng.choice([0, 1, 1, 2, 3, 5])) for t in kinds}
+    nodes = spark.createDataFrame([(t, k, t.upper(), "p", 1) for t, k in kinds.items()] + [(m, "method", x, "m", 1) for m, x in names.items()], "id string, kind string, name string, file_path string, start_line int")
+    edges = spark.createDataFrame([(t, m, "contains") for t in has for m in [*has[t], *has[t][:1], "gone"]], "source string, target string, kind string")
+    sets = {t: {names[m] for m in has[t]} for t in kinds if has[t]}
+    want = {(t, b, b.upper()) for b in sets if kinds[b] == base and None not in sets[b] for t in sets if kinds[t] == "struct" and t != b and sets[t] >= sets[b]}
+    got = [tuple(r) for r in synth.implements_by_methods(nodes, edges, "struct", base, None).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert max(Counter(b for _, b, _ in want).values()) > synth.CAP
+
+
 def test_windows(spark):
     spans = spark.createDataFrame([("f", 1, 5), ("f", 7, 9), ("f", 20, 22), ("g", 1, 1)], "file_path string, first int, last int")
     assert {(r.file_path, r["first"], r["last"]) for r in ranking.line_clusters(spans, ["file_path"], 3).collect()} == {("f", 1, 9), ("f", 20, 22), ("g", 1, 1)}
